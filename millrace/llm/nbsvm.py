@@ -91,14 +91,24 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dim
     return w
 
 
-def fit(sample: list[tuple[str, int]], bits: int = BITS, smoothing: float = 1.0, c: float = 1.0, beta: float = 0.25, epochs: int = 40, seed: int = 10) -> Model | None:
-    """The model of (text, class) pairs; None if a class is missing."""
-    y = np.array([1.0 if k else -1.0 for _, k in sample])
-    if not len(y) or abs(y.sum()) == len(y):
+def fit(
+    sample: list[tuple[str, int]], bits: int = BITS, smoothing: float = 1.0, c: float = 0.1, beta: float = 0.25, epochs: int = 40,
+    held: float = 0.25, max_false_rate: float = 0.005, seed: int = 10,
+) -> Model | None:
+    """The model of (text, class) pairs; None if a class is missing.
+
+    The last `held` share of each class is kept out; the bias is set so that at
+    most max_false_rate of the kept-out good texts score below 0.
+    """
+    sides = {k: [t for t, y in sample if y == k] for k in (0, 1)}
+    if not sides[0] or not sides[1]:
         return None
+    kept = {k: max(1, int(len(v) * (1 - held))) for k, v in sides.items()}
+    texts = sides[0][: kept[0]] + sides[1][: kept[1]]
+    y = np.array([-1.0] * kept[0] + [1.0] * kept[1])
     rows, ats = [], []
-    for i in range(0, len(sample), 256):
-        row, at = features(pa.array([t for t, _ in sample[i : i + 256]], type=pa.large_string()), bits)
+    for i in range(0, len(texts), 256):
+        row, at = features(pa.array(texts[i : i + 256], type=pa.large_string()), bits)
         rows.append(row + i), ats.append(at)
     row, at = np.concatenate(rows), np.concatenate(ats)
     dims = 1 << bits
@@ -107,22 +117,17 @@ def fit(sample: list[tuple[str, int]], bits: int = BITS, smoothing: float = 1.0,
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     # columns seen in no text say nothing: their ratio would only reflect the classes' lengths
     ratio[p + q == 2 * smoothing] = 0.0
-    bound = np.searchsorted(row, np.arange(len(sample) + 1))
-    # one more column, always 1, is the bias
-    each = [np.append(at[a:b], dims) for a, b in zip(bound, bound[1:])]
+    bound = np.searchsorted(row, np.arange(len(texts) + 1))
+    # one more column, always 1, is the bias while fitting
+    each = [np.append(at[i:j], dims) for i, j in zip(bound, bound[1:])]
     values = [np.append(ratio[e[:-1]], 1.0) for e in each]
     w = descend(each, values, y, dims + 1, c, epochs, seed)
     used = ratio != 0
     mean = np.abs(w[:-1][used]).mean() if used.any() else 0.0
-    final = ((1 - beta) * mean + beta * w[:-1]) * ratio
-    # the bias that separates the drawn-in scores best on the sample
-    raw = np.bincount(row, final[at], minlength=len(sample))
-    order = np.argsort(raw)
-    good, bad = (y > 0).sum(), (y < 0).sum()
-    right = np.cumsum(np.where(y[order] < 0, 1 / bad, -1 / good))
-    k = int(np.argmax(right))
-    edge = raw[order[k]] if k + 1 == len(order) else (raw[order[k]] + raw[order[k + 1]]) / 2
-    return Model(final, -float(edge), bits)
+    model = Model(((1 - beta) * mean + beta * w[:-1]) * ratio, 0.0, bits)
+    good = sides[1][kept[1] :] or sides[1]
+    scores = np.sort(np.concatenate([model.score(pa.array(good[i : i + 256], type=pa.large_string())) for i in range(0, len(good), 256)]))
+    return Model(model.weight, -float(scores[int(len(scores) * max_false_rate)]), bits)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, seed: int = 10, **options) -> Model | None:

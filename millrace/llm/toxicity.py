@@ -1,12 +1,15 @@
 """Toxicity by compression distance (operator 8).
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-A text is cut into windows; each window is compressed with both, and the bytes
-that the toxic dictionary saves are its gain.  A document's score adds up the
-gains above one byte over the square root of its windows, and is held against
-a threshold calibrated on held-out ordinary documents.
-
-Both dictionaries have the same entropy tables and the same general segment
+Zstandard dictionaries are trained in pairs, one on toxic and one on ordinary
+text.  A text is cut into windows; each window is compressed with both, and the
+bytes that the toxic dictionary saves are its gain.  A score adds up the gains
+over the square root of the number of windows.  A pair is trained for each of
+several window sizes and the scores are added: whether the compressor finds a
+match hangs on chance (which positions share a slot of its tables), and what
+several pairs agree on does not.  The sum is held against a threshold
+calibrated on held-out ordinary documents.
+
+The two dictionaries of a pair have the same entropy tables and the same general segment
 (trained on ordinary text), followed by a segment of their own: words, ordered
 by the z-score of their log-odds between the two classes.  Occurrences count
 once per distinct context (word before and after), so copied documents don't
@@ -37,11 +40,16 @@ SCHEMA = "doc_id bigint, windows bigint, gain bigint, score double, toxic boolea
 
 
 @dataclass(frozen=True)
-class Model:
+class Pair:
+    window: int
     toxic: bytes
     ordinary: bytes
+
+
+@dataclass(frozen=True)
+class Model:
+    pairs: tuple[Pair, ...]
     threshold: float
-    window: int
     level: int
 
 
@@ -96,25 +104,26 @@ def windows(data: bytes, size: int) -> list[bytes]:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model = model
-        self.toxic = _compressor(model.toxic, model.level).compress
-        self.ordinary = _compressor(model.ordinary, model.level).compress
+        self.pairs = [(p.window, _compressor(p.toxic, model.level).compress, _compressor(p.ordinary, model.level).compress) for p in model.pairs]
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, gain and score of each text."""
+        """Windows, gain and score of each text, of all window sizes together."""
         texts = tc.lowered(column).cast(pa.large_binary()).to_pylist()
-        count, gain = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        toxic, ordinary, size = self.toxic, self.ordinary, self.model.window
+        count, gain, score = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for i, text in enumerate(texts):
-            cut = windows(text, size)
-            count[i] = len(cut)
-            gain[i] = sum(d - 1 for w in cut if (d := len(ordinary(w)) - len(toxic(w))) > 1)
-        return count, gain, gain / np.sqrt(np.maximum(count, 1))
+            for size, toxic, ordinary in self.pairs:
+                cut = windows(text, size)
+                saved = sum(d for w in cut if (d := len(ordinary(w)) - len(toxic(w))) > 0)
+                if saved:
+                    gain[i] += saved
+                    score[i] += saved / math.sqrt(len(cut))
+                count[i] += len(cut)
+        return count, gain, score
 
 
 def fit(
-    sample: list[tuple[str, int]], window: int = 128, level: int = 3, general: int = 32768, own: int = 8192,
-    least_z: float = 3.0, least_odds: float = 1.5, max_false_rate: float = 0.004,
+    sample: list[tuple[str, int]], sizes: tuple[int, ...] = (112, 144, 192, 256), level: int = 3, general: int = 32768, own: int = 8192,
+    least_z: float = 3.25, least_odds: float = 2.0, max_false_rate: float = 0.002, least_score: float = 1.0,
 ) -> Model | None:
     """Train on two thirds of (text, toxic) pairs and calibrate on the last third.
 
@@ -130,18 +139,19 @@ def fit(
     train = {y: t[: max(3, len(t) * 2 // 3)] for y, t in sides.items()}
     held = sides[0][len(train[0]) :]
     seen = {y: _contexts(t) for y, t in train.items()}
-    pieces = [p for t in train[0] for p in windows(t.lower().encode(), 2 * window)]
-    try:
-        base = zstandard.train_dictionary(general, pieces, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: its words themselves, without tables
-        base = b" ".join(pieces)[-general:]
-    model = Model(
-        base + _segment(seen[1], seen[0], own, least_z, least_odds), base + _segment(seen[0], seen[1], own, least_z, least_odds),
-        0.0, window, level,
-    )
+    segments = [_segment(seen[y], seen[1 - y], own, least_z, least_odds) for y in (0, 1)]
+    pairs = []
+    for size in sizes:
+        pieces = [p for t in train[0] for p in windows(t.lower().encode(), 2 * size)]
+        try:
+            base = zstandard.train_dictionary(general, pieces, k=64, d=8).as_bytes()
+        except zstandard.ZstdError:  # too little text to train on: the text itself, without tables
+            base = b" ".join(pieces)[-general:]
+        pairs.append(Pair(size, base + segments[1], base + segments[0]))
+    model = Model(tuple(pairs), 0.0, level)
     scores = np.sort(Scorer(model)(pa.array(held or train[0], type=pa.large_string()))[2])
     allowed = int(len(scores) * max_false_rate)
-    return Model(model.toxic, model.ordinary, max(float(scores[-1 - allowed]) + 1e-9, 0.5), window, level)
+    return Model(model.pairs, max(float(scores[-1 - allowed]) + 1e-9, least_score), level)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 8, **options) -> Model | None:
