@@ -6,6 +6,8 @@ and tails are regular expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,16 +70,26 @@ def promised(path: Column) -> Column:
     return chain
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out, and compiled, once: filters pushed through a projection would copy it at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def classify(path: Column, content: Column) -> Column:
-    """struct<media_type, magic_label, reason>: reason is null for what is accepted.
+    """struct<media_type, magic_label, reason>; reason is null for what is accepted.
 
     The content decides; an extension that promises another structured type, or
     text where the content is structured, is a mismatch.
     """
-    want, got = promised(path), sniff(content)
-    carrier = F.when(want.isin("docx", "xlsx"), "zip").when(want.isin("doc", "xls"), "ole").when(want.isin(*IMAGES), want)
-    clash = F.when(carrier.isNotNull(), got != carrier).otherwise(want.isNotNull() & got.isin(*STRUCTURED))
-    free = F.when(got.isin(*IMAGES, "eml", "txt"), got).otherwise("other")
-    media = F.when(clash, got).otherwise(F.coalesce(want, free))
-    reason = F.when(clash, "TAMPER_MAGIC_MISMATCH").otherwise(tamper(media, content))
-    return F.struct(media.alias("media_type"), got.alias("magic_label"), reason.alias("reason"))
+    def media(k: Column) -> Column:
+        want, got = k["want"], k["got"]
+        carrier = F.when(want.isin("docx", "xlsx"), "zip").when(want.isin("doc", "xls"), "ole").when(want.isin(*IMAGES), want)
+        clash = F.coalesce(got != carrier, want.isNotNull() & got.isin(*STRUCTURED), F.lit(False))
+        free = F.when(got.isin(*IMAGES, "eml", "txt"), got).otherwise("other")
+        return F.struct(F.when(clash, got).otherwise(F.coalesce(want, free)).alias("media_type"), got.alias("magic_label"), clash.alias("clash"))
+
+    def verdict(m: Column) -> Column:
+        reason = F.when(m["clash"], "TAMPER_MAGIC_MISMATCH").otherwise(tamper(m["media_type"], content))
+        return F.struct(m["media_type"].alias("media_type"), m["magic_label"].alias("magic_label"), reason.alias("reason"))
+
+    return _let(_let(F.struct(promised(path).alias("want"), sniff(content).alias("got")), media), verdict)

@@ -112,8 +112,11 @@ def read_html(markup: str) -> tuple[str, str | None, int, int, list[str]]:
     return "\n".join(kept), " ".join("".join(reader.heading).split()) or None, reader.skipped, reader.remarks, warnings
 
 
-@F.pandas_udf("text string, title string, skipped int, comments int, warnings array<string>")
-def parse_html(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The parser, for markup of any kind; a null page is an empty one."""
+def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in pages:
         yield pd.DataFrame([read_html(x or "") for x in s], columns=["text", "title", "skipped", "comments", "warnings"])
+
+
+def parse_html(html: Column | str) -> Column:
+    """struct<text,title,skipped,comments,warnings> by the parser, for markup of any kind; a null page is an empty one."""
+    return F.pandas_udf(_parsed, "text string, title string, skipped int, comments int, warnings array<string>")(html)

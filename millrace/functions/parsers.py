@@ -13,6 +13,7 @@ from email.utils import getaddresses
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import RECIPIENT
@@ -70,8 +71,15 @@ def read_mail(data: bytes) -> dict:
     }
 
 
-@F.pandas_udf(f"text string, subject string, date_raw string, message_id string, recipients array<{RECIPIENT}>, raw_headers map<string,array<string>>, warnings array<string>")
-def parse_mail(messages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+_MAIL = f"text string, subject string, date_raw string, message_id string, recipients array<{RECIPIENT}>, raw_headers map<string,array<string>>, warnings array<string>"
+
+
+def parse_mail(content: Column | str) -> Column:
+    """A struct as read_mail() gives it."""
+    return F.pandas_udf(_mail, _MAIL)(content)
+
+
+def _mail(messages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in messages:
         yield pd.DataFrame([read_mail(bytes(x or b"")) for x in s], columns=["text", "subject", "date_raw", "message_id", "recipients", "raw_headers", "warnings"])
 
@@ -87,8 +95,12 @@ def table_shape(text: str) -> tuple[int, int, list[str]]:
     return rows, cols, []
 
 
-@F.pandas_udf("rows int, cols int, warnings array<string>")
-def csv_shape(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def csv_shape(text: Column | str) -> Column:
+    """struct<rows,cols,warnings> of CSV text."""
+    return F.pandas_udf(_shape, "rows int, cols int, warnings array<string>")(text)
+
+
+def _shape(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in texts:
         yield pd.DataFrame([table_shape(x or "") for x in s], columns=["rows", "cols", "warnings"])
 
@@ -171,6 +183,13 @@ def _office(kind: str, data: bytes) -> dict:
         return {"pages": [], "tables": [], "warnings": [f"{kind} unreadable: {type(e).__name__}"]}
 
 
-@F.pandas_udf("pages array<struct<page_number:int,text:string>>, tables array<struct<name:string,page_number:int,rows:int,cols:int>>, warnings array<string>")
-def parse_office(kinds: pd.Series, files: pd.Series) -> pd.DataFrame:
+_OFFICE = "pages array<struct<page_number:int,text:string>>, tables array<struct<name:string,page_number:int,rows:int,cols:int>>, warnings array<string>"
+
+
+def parse_office(kind: Column | str, content: Column | str) -> Column:
+    """struct<pages,tables,warnings> of docx and xlsx files."""
+    return F.pandas_udf(_files, _OFFICE)(kind, content)
+
+
+def _files(kinds: pd.Series, files: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_office(k, bytes(f or b"")) for k, f in zip(kinds, files)], columns=["pages", "tables", "warnings"])

@@ -17,16 +17,15 @@ def judged(candidates: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
     A `problem` column, if there is one, carries what listing the files found
     (link, not regular, changed while read); it wins over all other reasons.
     """
-    early = F.when(F.col("size_bytes") == 0, "EMPTY_FILE").when(F.col("size_bytes") > config.max_file_bytes, "RESOURCE_TOO_LARGE")
+    early = F.when(F.col("size_bytes") == 0, "RESOURCE_EMPTY").when(F.col("size_bytes") > config.max_file_bytes, "RESOURCE_TOO_LARGE")
     if "problem" in candidates.columns:
         early = F.coalesce(F.col("problem"), early)
-    kind = F.when(early.isNull(), ct.classify(F.col("relpath"), F.col("content")))
-    return candidates.withColumn("_early", early).withColumn("_kind", kind).select(
-        *[c for c in candidates.columns if c != "problem"],
-        F.when(F.col("_early").isNull(), F.sha2("content", 256)).alias("sha256"),
-        F.col("_kind.media_type").alias("media_type"), F.col("_kind.magic_label").alias("magic_label"),
-        F.coalesce("_early", F.col("_kind.reason")).alias("reason_code"),
-    )
+    t = candidates.withColumn("_early", early)
+    # what is dropped early isn't looked into
+    t = t.withColumn("_kind", F.when(F.col("_early").isNull(), ct.classify(F.col("relpath"), F.col("content"))))
+    return t.select(
+        *[c for c in candidates.columns if c != "problem"], F.when(F.col("_early").isNull(), F.sha2("content", 256)).alias("sha256"),
+        F.col("_kind.media_type").alias("media_type"), F.col("_kind.magic_label").alias("magic_label"), F.coalesce("_early", "_kind.reason").alias("reason_code"))
 
 
 def drops(judgement: DataFrame, utc: str) -> DataFrame:
