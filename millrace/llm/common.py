@@ -6,14 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare, shared_folder
 from . import textcore as tc
 
-__all__ = ["StorageLevel", "cut", "labelled_sample", "keep_rows", "ready", "broadcast_if_small"]
+__all__ = ["cut", "fresh", "labelled_sample", "keep_rows", "ready", "broadcast_if_small"]
 
 
 def ready(df: DataFrame) -> SparkSession:
@@ -29,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores as it takes for df to have no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, limit_bytes: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows fit limit_bytes; else as it is (a shuffle join)."""
     fits = df.limit(limit_bytes // row_bytes + 1).count() <= limit_bytes // row_bytes

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, ready
+from .common import broadcast_if_small, cut, fresh, ready
 
 #: Draws have 52 bits, exact in a double.
 DRAW = float(1 << 52)
@@ -57,8 +57,10 @@ def draw(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(DRAW)
 
 
-def _with_copies(docs: DataFrame, weights: dict | None, budget_share: float, max_epochs: float, power: float, seed: int) -> DataFrame:
+def _with_copies(docs: DataFrame, weights: dict | None, budget_share: float, max_epochs: float, power: float, seed: int) -> tuple[DataFrame, str]:
+    """docs with the numbers 1 to a row's copies, for rows that have any; and the name of that column."""
     ready(docs)
+    source, epochs, copies = (fresh(docs, f"mix_{x}") for x in ("source", "epochs", "copies"))
     given = F.lit(None).cast("double")
     if weights is not None:
         given = F.lit(0.0)
@@ -68,12 +70,12 @@ def _with_copies(docs: DataFrame, weights: dict | None, budget_share: float, max
         docs.groupBy("source").agg(F.sum(F.coalesce(F.col("n_chars"), F.lit(0))).alias("size"))
         .withColumn("weight", given)
     )
-    plan = cut(allocate(sizes, budget_share, max_epochs, power).select(F.col("source").alias("_mix_source"), F.col("epochs").alias("_mix_epochs")))
+    plan = cut(allocate(sizes, budget_share, max_epochs, power).select(F.col("source").alias(source), F.col("epochs").alias(epochs)))
     plan = broadcast_if_small(plan, PLAN_BYTES, 100)
-    whole = F.floor(F.col("_mix_epochs"))
-    part = F.col("_mix_epochs") - whole
-    joined = docs.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
-    return joined.withColumn("_mix_copies", (whole + (draw(F.col("doc_id"), seed) < part).cast("int")).cast("int")).drop("_mix_source", "_mix_epochs")
+    whole = F.floor(F.col(epochs))
+    number = (whole + (draw(F.col("doc_id"), seed) < F.col(epochs) - whole).cast("int")).cast("bigint")
+    t = docs.join(plan, F.col("source").eqNullSafe(F.col(source)), "left").withColumn(copies, number).where(F.col(copies) > 0)
+    return t.withColumn(copies, F.sequence(F.lit(1).cast("bigint"), F.col(copies))), copies
 
 
 def mix(docs: DataFrame, weights: dict | None = None, budget_share: float = 1.0, max_epochs: float = 4.0, power: float = 0.5, seed: int = 4) -> DataFrame:
@@ -86,11 +88,11 @@ def mix(docs: DataFrame, weights: dict | None = None, budget_share: float = 1.0,
     weights (absent ones get 0); by default a source's weight is its size to
     the given power.  Columns and their order stay; an empty table stays empty.
     """
-    t = _with_copies(docs, weights, budget_share, max_epochs, power, seed).where("_mix_copies > 0")
-    return t.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    t, copies = _with_copies(docs, weights, budget_share, max_epochs, power, seed)
+    return t.withColumn(copies, F.explode(copies)).drop(copies, *set(t.columns) - {*docs.columns, copies})
 
 
 def sample(docs: DataFrame, weights: dict | None = None, budget_share: float = 1.0, max_epochs: float = 4.0, power: float = 0.5, seed: int = 4) -> DataFrame:
     """mix() as doc_id, source and copy (1, 2, ...), for which only doc_id, source and n_chars are read."""
-    t = _with_copies(docs.select("doc_id", "source", "n_chars"), weights, budget_share, max_epochs, power, seed).where("_mix_copies > 0")
-    return t.select("doc_id", "source", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_copies").cast("bigint"))).alias("copy"))
+    t, copies = _with_copies(docs.select("doc_id", "source", "n_chars"), weights, budget_share, max_epochs, power, seed)
+    return t.select("doc_id", "source", F.explode(copies).alias("copy"))

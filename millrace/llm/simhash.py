@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import broadcast_if_small, cut, ready
+from .common import broadcast_if_small, cut, fresh, ready
 
 UNARY = 100
 RADIUS = 23
@@ -370,5 +370,6 @@ def groups(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFra
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFrame:
     """docs without the rows that groups() doesn't keep, all columns unchanged."""
-    gone = cut(groups(docs, radius, slack).where("NOT kept").select(F.col("doc_id").alias("_gone")))
-    return docs.join(broadcast_if_small(gone, REMOVED_BYTES, 16), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = cut(groups(docs, radius, slack).where("NOT kept").select(F.col("doc_id").alias(name)))
+    return docs.join(broadcast_if_small(gone, REMOVED_BYTES, 16), F.col("doc_id") == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import broadcast_if_small, cut, keep_rows, ready
+from .common import broadcast_if_small, cut, fresh, keep_rows, ready
 
 K, W = 8, 6
 BROADCAST_BYTES = 64 << 20
@@ -189,5 +189,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, w: int = W,
 
         return keep_rows(docs, decide)
     d = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    gone = cut(_by_shuffle(d, _items(benchmark), k, w).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(broadcast_if_small(gone, PAIR_BYTES, 16), F.xxhash64("text") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = cut(_by_shuffle(d, _items(benchmark), k, w).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(broadcast_if_small(gone, PAIR_BYTES, 16), F.xxhash64("text") == F.col(name), "left_anti")

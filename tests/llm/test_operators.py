@@ -1,0 +1,447 @@
+"""Operators against brute force, exact round trips or held-out accuracy."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from helpers import table, words
+
+from millrace.llm import audio, fixity, langid, mixing, nbsvm, sharding, simhash, toxicity, winnowing
+from millrace.llm import textcore as tc
+
+
+def edited(rng, w, share):
+    out = []
+    for x in w:
+        u = rng.random()
+        out += [x] if u > share else [] if u < share / 3 else [words(rng, 1)[0]] if u < 2 * share / 3 else [x, words(rng, 1)[0]]
+    return out
+
+
+# --- SimHash ---
+
+
+def near_corpus(seed=1, n=300):
+    rng = random.Random(seed)
+    base = [words(rng, rng.randrange(3, 200)) for _ in range(n)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i in range(0, n, 5):
+        for _ in range(rng.randrange(4)):
+            rows.append((len(rows), " ".join(edited(rng, base[i], rng.choice((0, 0.02, 0.06))))))
+    return rows
+
+
+@pytest.mark.parametrize("radius,slack", [(simhash.RADIUS, simhash.SLACK), (45, 3), (60, 400)])
+def test_simhash_pairs_equal_brute_force(spark, radius, slack, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_POINTS", 50)  # several tiles in a shard
+    rows = near_corpus()
+    docs = table(spark, rows)
+    p = simhash.fingerprints(docs).toPandas()
+    hi, lo = p.hi.to_numpy().view(np.uint64), p.lo.to_numpy().view(np.uint64)
+    want = set()
+    for i in range(len(p)):
+        d = np.bitwise_count(hi[i] ^ hi).astype(int) + np.bitwise_count(lo[i] ^ lo)
+        for j in np.flatnonzero((d <= radius) & (np.abs(p.code - p.code[i]) <= slack)):
+            a, b = int(p.doc_id[i]), int(p.doc_id[j])
+            if a < b:
+                want.add((a, b, int(d[j])))
+    # equal fingerprints are given once each, by their least id, and stand for each other
+    least = p.groupby(["hi", "lo", "code"]).doc_id.transform("min")
+    rep = dict(zip(p.doc_id, least))
+    got = [tuple(r) for r in simhash.pairs(docs, radius, slack).collect()]
+    assert len(got) == len(set(got))
+    assert {x for x in got if x[2] or rep[x[0]] != rep[x[1]]} == {(min(rep[a], rep[b]), max(rep[a], rep[b]), d) for a, b, d in want if rep[a] != rep[b]}
+    assert {x for x in got if rep[x[0]] == rep[x[1]]} == {(rep[b], b, 0) for b in rep if rep[b] != b}
+
+
+def test_simhash_groups_are_components(spark):
+    rows = near_corpus(2)
+    pairs = [(r["a"], r["b"]) for r in simhash.pairs(table(spark, rows)).collect()]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    size = Counter(find(i) for i in root)
+    want = {(i, find(i), find(i) == i) for i in root if size[find(i)] > 1}
+    assert {tuple(r) for r in simhash.groups(table(spark, rows)).collect()} == want
+    kept = {r["doc_id"] for r in simhash.deduplicate(table(spark, rows)).collect()}
+    assert kept == {find(i) for i in root}
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(4)
+    names = rng.sample(range(10_000), 300)
+    edges = [(names[i], names[i + 1]) for i in range(149)] + [(names[150], names[i]) for i in range(151, 300)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    a, b = min(names[:150]), min(names[150:])
+    assert got == {x: a for x in names[:150] if x != a} | {x: b for x in names[150:] if x != b}
+
+
+def test_simhash_bits_are_majorities():
+    rng = np.random.default_rng(0)
+    f = rng.integers(0, 1 << 63, 70_000, dtype=np.uint64) * np.uint64(2)
+    row = np.sort(rng.integers(0, 3, len(f)) * 2)
+    hi, lo = simhash._simhash(f, row, 6)
+    for r in range(6):
+        for x, g in ((hi, f), (lo, tc.mix(f))):
+            mine = g[row == r]
+            bits = (mine[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+            want = sum(1 << b for b in range(64) if 2 * int(bits[:, b].sum()) > len(mine)) if len(mine) else 0
+            assert int(x[r]) == want
+
+
+def test_near_copies_pair_and_others_do_not():
+    rng = random.Random(5)
+    base = [words(rng, rng.randrange(60, 400)) for _ in range(150)]
+    copies = [edited(rng, w, 0.05) for w in base]
+    hi, lo, _ = simhash.fingerprint(pa.array([" ".join(w) for w in base + copies]))
+    d = np.bitwise_count(hi[:, None] ^ hi).astype(int) + np.bitwise_count(lo[:, None] ^ lo)
+    n = len(base)
+    assert np.mean(d[np.arange(n), np.arange(n) + n] <= simhash.RADIUS) > 0.97
+    assert (d[:n, :n][np.triu_indices(n, 1)] > simhash.RADIUS).all()
+
+
+# --- winnowing ---
+
+
+def spans(doc, item, least):
+    """Maximal common spans of at least `least` words."""
+    out = set()
+    for i in range(len(doc)):
+        for j in range(len(item)):
+            if doc[i] == item[j] and (not i or not j or doc[i - 1] != item[j - 1]):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
+                    n += 1
+                if n >= least:
+                    out.add((i, j, n))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_winnowing_finds_every_span(spark, limit):
+    rng = random.Random(3)
+    few = [f"t{i}" for i in range(4)]  # a small vocabulary makes ties and short repeats
+    items = [[rng.choice(few) for _ in range(rng.randrange(2, 25))] for _ in range(8)] + [words(rng, 40)]
+    docs = []
+    for i in range(40):
+        w = [rng.choice(few) for _ in range(rng.randrange(60))]
+        if rng.random() < 0.6:
+            it = rng.choice(items)
+            a = rng.randrange(len(it))
+            w[rng.randrange(len(w) + 1) : 0] = it[a : a + rng.randrange(1, 30)]
+        docs.append(w)
+    d = table(spark, [(i, ", ".join(w).upper()) for i, w in enumerate(docs)] + [(None, " ".join(items[-1])), (7, " ".join(docs[7]))])
+    bm = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    want = Counter()
+    for key, w in [*enumerate(docs), (None, items[-1]), (7, docs[7])]:
+        for j, it in enumerate(items):
+            for a, b, n in spans(w, it, 6):
+                want[(key, j, a, b, n, len(it))] += 1
+    got = Counter(tuple(r) for r in winnowing.contamination(d, bm, k=3, w=4, broadcast_bytes=limit).collect())
+    assert got == want
+    bad = {k[0] for k in want}
+    kept = sorted(str(r["doc_id"]) for r in winnowing.decontaminate(d, bm, k=3, w=4, broadcast_bytes=limit).collect())
+    assert kept == sorted(str(i) for i in [*range(40), None, 7] if i not in bad)
+
+
+# --- mixing ---
+
+
+def fill(sizes, weights, budget, epochs):
+    """Water-filling in rounds, as it is usually told."""
+    cap = {s: sizes[s] * epochs if weights[s] > 0 else 0.0 for s in sizes}
+    budget = min(budget, sum(cap.values()))
+    got, free = {}, {s for s in sizes if weights[s] > 0}
+    while free:
+        level = (budget - sum(got.values())) / sum(weights[s] for s in free)
+        over = {s for s in free if weights[s] * level >= cap[s]}
+        if not over:
+            return {s: 0.0 for s in sizes} | got | {s: weights[s] * level for s in free}
+        got |= {s: cap[s] for s in over}
+        free -= over
+    return {s: 0.0 for s in sizes} | got
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_allocation_equals_rounds(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i}": rng.choice((0, 10, 500, 3000, rng.randrange(1, 10_000))) for i in range(9)}
+    weights = {s: rng.choice((0.0, 1.0, 1.0, rng.random() * 5)) for s in sizes}
+    share, cap = rng.choice((0.3, 1.0, 2.5, 50.0)), rng.choice((1.0, 2.5, 4.0))
+    df = spark.createDataFrame([(s, float(n), weights[s]) for s, n in sizes.items()], "source string, size double, weight double")
+    got = {r["source"]: r["quota"] for r in mixing.allocate(df, share, cap).collect()}
+    want = fill(sizes, weights, share * sum(sizes.values()), cap)
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
+def test_mixture_repeats_and_thins(spark):
+    rows = [(i, "w " * 50, "en", "big" if i % 10 else "small", 100) for i in range(3000)]
+    d = table(spark, rows)
+    options = {"weights": {"big": 1.0, "small": 1.0}, "max_epochs": 2.5}
+    got = Counter((r["doc_id"], r["source"]) for r in mixing.sample(d, **options).collect())
+    small = [got[(i, "small")] for i in range(0, 3000, 10)]
+    assert set(small) == {2, 3} and abs(np.mean(small) - 2.5) < 0.15
+    assert abs(sum(n for (_, s), n in got.items() if s == "big") - 2250) < 120
+    assert Counter(r["doc_id"] for r in mixing.mix(d, **options).collect()) == Counter({i: n for (i, _), n in got.items()})
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.sample(d.repartition(7), **options).collect()) == got
+    other = Counter((r["doc_id"], r["source"]) for r in mixing.sample(d, seed=5, **options).collect())
+    assert other != got
+
+
+# --- sharding ---
+
+
+@pytest.mark.parametrize("shards,size", [(1, None), (7, None), (None, 1000), (200, None)])
+def test_shards_are_contiguous_and_balanced(spark, shards, size):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(200)]), rng.choice((None, "", "é" * rng.randrange(300)))) for _ in range(400)]
+    got = sharding.shard(table(spark, rows), shard_bytes=size or 1, shards=shards, partitions=5).collect()
+    keys = sorted(((i is not None, i or 0, len((t or "").encode())) for i, t in rows))
+    total = sum(k[2] for k in keys)
+    number = shards or -(-total // size)
+    want, at = [], 0
+    for n, (there, i, b) in enumerate(keys):
+        want.append((i if there else None, b, at, n, min(at * number // total, number - 1)))
+        at += b
+    assert sorted((tuple(r) for r in got), key=lambda r: r[3]) == want
+
+
+# --- fixity ---
+
+
+def test_audit_finds_all_damage_and_nothing_else(spark):
+    rng = random.Random(11)
+    rows = [(i, f"http://x/{i}", " ".join(words(rng, rng.randrange(20)))) for i in [*range(0, 9000, 3), -40, -41]]
+    rows += [(30, "http://again", "second record"), (None, "u", "no id"), (None, None, None)]
+    a = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert fixity.audit(a, a.repartition(5)).count() == 0
+    lost, bad = {30, 600, 8997}, {0, 33, -41, 4095, 4098}
+    hurt = [r for r in rows if r[0] not in lost] + [(1, "new", "x"), (70_000, "new", "y")]
+    hurt = [(i, u, h + "!") if i in bad else (i, u, h) for i, u, h in hurt if (i, u) != (None, "u")]
+    got = {r["page_id"]: r for r in fixity.audit(a, spark.createDataFrame(hurt, "page_id bigint, url string, html string")).collect()}
+    want = dict.fromkeys(lost, "missing") | dict.fromkeys(bad & {r[0] for r in rows}, "corrupt") | {1: "extra", 70_000: "extra", None: "corrupt"}
+    assert {k: r["status"] for k, r in got.items()} == want
+    # offsets: bytes of the records before, in the same file of 4096 ids
+    size = {r["key"]: r["n_bytes"] for r in fixity.records(a.where("page_id <> 30")).collect()}
+    assert got[4098]["byte_offset"] == sum(n for k, n in size.items() if 4096 <= k < 4098) and got[4098]["file"] == 1
+    assert got[600]["byte_offset"] == sum(n for k, n in size.items() if 0 <= k < 600) + sum(r["n_bytes"] for r in fixity.records(a.where("page_id = 30")).collect())
+    assert fixity.audit(a.limit(0), a).count() == a.select("page_id").distinct().count()
+
+
+def test_tree_levels(spark):
+    a = spark.range(5000).selectExpr("id AS page_id", "'u' AS url", "cast(id AS string) AS html")
+    t = fixity.Tree(a)
+    assert [x.count() for x in t.levels] == [5000, 313, 20, 2, 1]
+    assert t.root() == fixity.Tree(a.repartition(3)).root()
+
+
+# --- classifiers ---
+
+
+def two_kinds(rng, n, marked, marks, share=0.06, low=30, high=200):
+    out = []
+    for _ in range(n):
+        w = words(rng, rng.randrange(low, high))
+        if marked:
+            w = [rng.choice(marks) if rng.random() < share else x for x in w]
+        out.append(" ".join(w))
+    return out
+
+
+def test_toxicity_on_held_out_texts(spark):
+    rng = random.Random(8)
+    marks = ["grobian", "schurke", "halunke", "lumpenpack", "nichtsnutz", "taugenichts"]
+    sample = [(t, 1) for t in two_kinds(rng, 150, True, marks)] + [(t, 0) for t in two_kinds(rng, 400, False, marks)]
+    model = toxicity.fit(sample)
+    docs = [(i, t) for i, t in enumerate(two_kinds(rng, 100, True, marks) + two_kinds(rng, 300, False, marks))]
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.classify(table(spark, docs), model).collect()}
+    assert sum(got[i] for i in range(100)) >= 95 and sum(got[i] for i in range(100, 400)) <= 6
+    kept = {r["doc_id"] for r in toxicity.reject(table(spark, docs), model).collect()}
+    assert kept == {i for i, bad in got.items() if not bad}
+    # a mark at the very end of a long text is found: the whole text is read
+    clean = " ".join(words(rng, 2000))
+    score = toxicity.Scorer(model)(pa.array([clean, clean + " " + " ".join(marks * 12)]))[2]
+    assert score[0] < model.threshold <= score[1]
+
+
+def test_windows_cover_the_text():
+    rng = random.Random(2)
+    for size in (5, 64, 112):
+        text = " ".join(words(rng, 300)).encode() + b"x" * 500
+        assert b"".join(toxicity.windows(text, size)) == text
+        assert all(0 < len(w) <= size for w in toxicity.windows(text, size))
+
+
+def test_nbsvm_on_held_out_texts(spark):
+    rng = random.Random(6)
+    bad = ["click", "here", "$$$", "win", "!!!"]
+    sample = [(t, 0) for t in two_kinds(rng, 200, True, bad, 0.15)] + [(t, 1) for t in two_kinds(rng, 400, False, bad)]
+    model = nbsvm.fit(sample)
+    docs = [(i, t) for i, t in enumerate(two_kinds(rng, 100, True, bad, 0.15) + two_kinds(rng, 200, False, bad))]
+    got = {r["doc_id"]: r["quality"] for r in nbsvm.classify(table(spark, docs), model).collect()}
+    assert sum(got[i] == 0 for i in range(100)) >= 97 and sum(got[i] for i in range(100, 300)) >= 196
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(60, 4)), np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    w = nbsvm.descend([np.arange(4)] * 60, list(x), y, 4, 0.5, 2000, 0, 1e-8)
+    cost = lambda v: v @ v / 2 + 0.5 * np.maximum(0, 1 - y * (x @ v)).sum()
+    best = cost(w)
+    assert all(cost(w + rng.normal(size=4) * s) >= best - 1e-9 for s in (1e-3, 1e-2, 0.1, 1) for _ in range(200))
+
+
+def test_nbsvm_features_are_token_grams():
+    texts = ["Go, go! x", "", None, "go go"]
+    row, at = nbsvm.features(pa.array(texts, type=pa.large_string()))
+    assert [int((row == i).sum()) for i in range(4)] == [4 + 4, 0, 0, 2]
+    assert set(at[row == 3]) & set(at[row == 0])
+
+
+LANGS = {"aa": "the of and to in is", "bb": "der die und das nicht ein", "cc": "le la les des un que"}
+
+
+def lingual(rng, lang, n):
+    own = LANGS[lang].split()
+    return [" ".join(rng.choice(own) if rng.random() < 0.5 else rng.choice(own)[::-1] + rng.choice(own) for _ in range(rng.randrange(4, 60))) for _ in range(n)]
+
+
+def test_language_on_held_out_texts(spark):
+    rng = random.Random(12)
+    rows, k = [], 0
+    for lang in LANGS:
+        for t in lingual(rng, lang, 120):
+            rows.append((k, t, lang, "s", len(t)))
+            k += 1
+    model = langid.train(table(spark, rows), per_language=100)
+    test = [(i, t, "?", lang, 0) for lang in LANGS for i, t in enumerate(lingual(rng, lang, 60))]
+    got = langid.identify(table(spark, test), model).collect()
+    assert len(got) == 180 and np.mean([r["predicted"] == s[3] for r, s in zip(got, test)]) > 0.97
+    assert (model.weight == 0).mean() > 0.5  # the L1 part leaves zeros
+    dense = langid.train(table(spark, rows), per_language=100, l1=0.0)
+    assert (dense.weight == 0).mean() < (model.weight == 0).mean()
+
+
+def test_document_frequencies_are_exact(spark):
+    rng = random.Random(1)
+    texts = [*lingual(rng, "aa", 30), "", None, "ÄÖ ß"]
+    seen, n = langid.frequencies(table(spark, [(i, t) for i, t in enumerate(texts)]).repartition(5))
+    want = np.zeros(1 << langid.BITS, np.int64)
+    for t in texts:
+        want[langid.counts(pa.array([t], type=pa.large_string()))[1]] += 1
+    assert n == len(texts) and (seen == want).all()
+    _, _, times = langid.counts(pa.array(["abab"]))
+    assert times.sum() == 4 + 3 + 2
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=(4000, 3))
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    y = np.array([rng.choice(3, p=q) for q in p])
+    assert langid.temperature(logits * 4, y) == pytest.approx(4, rel=0.15)
+
+
+# --- audio ---
+
+
+def test_resampling_equals_direct_convolution():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=700)
+    for source, target in ((11025, 8000), (8000, 16000), (44100, 8000), (8000, 8000)):
+        got = audio.resample(x, source, target, block=97)
+        assert len(got) == -(-len(x) * target // source)
+        if source == target:
+            assert (got == x).all()
+            continue
+        cut, half = min(1.0, target / source), int(16 * max(1.0, source / target))
+        for m in (0, 1, 50, len(got) // 2, len(got) - 1):
+            t = m * source / target - np.arange(len(x))
+            h = np.where(np.abs(t) <= half, np.sinc(t * cut) * cut * (0.5 + 0.5 * np.cos(np.pi * t / half)), 0)
+            assert got[m] == pytest.approx((h * x).sum(), abs=1e-6)
+
+
+def test_log_mel_equals_naive_transform():
+    s = audio.Settings()
+    y = np.random.default_rng(2).normal(size=1000) * 0.1
+    bank = audio.filterbank(s)
+    got, level = audio.log_mel(y, s, bank, block=3)
+    assert got.shape == ((1000 - s.window) // s.hop + 1, s.mels)
+    frame = y[2 * s.hop : 2 * s.hop + s.window]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(s.window) / s.window)
+    k = np.arange(s.size // 2 + 1)[:, None]
+    spectrum = (frame * hann * np.exp(-2j * np.pi * k * np.arange(s.window) / s.size)).sum(axis=1)
+    assert got[2] == pytest.approx(np.log(np.maximum(bank @ (np.abs(spectrum) ** 2 / s.size), 1e-10)))
+    assert level[2] == pytest.approx(10 * np.log10((frame**2).mean()))
+    assert (bank.max(axis=1) > 0).all()
+
+
+def test_hysteresis():
+    s = audio.Settings(high_db=-20, low_db=-40, least=2, gap=1)
+    level = np.array([-60, -30, -10, -30, -50, -30, -60, -60, -30, -30, -60, -60, -10, -60, -60, -15, -15])
+    assert audio.segments(level, s) == [(1, 6), (15, 17)]
+    assert audio.segments(np.array([]), s) == []
+
+
+def test_audio_features_and_tensors(spark, tmp_path):
+    rate = 8000
+    t = np.arange(rate * 2) / rate
+    wave = np.where((t > 0.5) & (t < 1.5), np.sin(2 * np.pi * 440 * t) * 0.5, 0)
+    pcm = np.rint(wave * 32767).astype("<i2").tobytes()
+    clips = spark.createDataFrame([(1, pcm, rate), (2, None, rate), (3, pcm + b"\0", 0), (4, bytes(4000), rate), (None, pcm, rate), (5, pcm, -1)], "id bigint, audio binary, rate int")
+    df = audio.features(clips)
+    rows = df.collect()
+    assert {r["id"] for r in rows} == {1, None}
+    one = sorted((r for r in rows if r["id"] == 1), key=lambda r: r["part"])
+    assert one[0]["start_s"] == pytest.approx(0.5, abs=0.03) and one[-1]["end_s"] == pytest.approx(1.5, abs=0.03)
+    assert [r["part"] for r in one] == list(range(len(one))) and all(len(r["features"]) == 32 * 40 for r in one)
+    got = audio.tensors(df.toArrow())
+    kind = got.schema.field("features").type
+    assert isinstance(kind, pa.FixedShapeTensorType) and kind.shape == [32, 40]
+    cube = got["features"].combine_chunks().to_numpy_ndarray() if hasattr(got["features"].combine_chunks(), "to_numpy_ndarray") else got["features"].chunk(0).to_numpy_ndarray()
+    assert cube.shape == (len(rows), 32, 40)
+    bank = audio.filterbank(audio.Settings())
+    assert abs(int(cube[0][5].argmax()) - int(bank[:, round(440 * 256 / 8000)].argmax())) <= 1
+    files = audio.write_tensors(df, str(tmp_path / "out")).collect()
+    read = pa.concat_tables(pa.ipc.open_file(r["file"]).read_all() for r in files)
+    assert read.num_rows == len(rows) and isinstance(read.schema.field("features").type, pa.FixedShapeTensorType)
+
+
+def test_sonify(spark):
+    e = spark.createDataFrame([(1, [0.0, 1.0, -1.0]), (2, []), (3, None), (4, [None, float("nan"), 0.0])], "vec_id bigint, embedding array<double>")
+    got = {r["id"]: r for r in audio.sonify(e).collect()}
+    assert len(got[1]["audio"]) == 3 * 220 * 2 and len(got[2]["audio"]) == 0 and not any(got[4]["audio"])
+    assert {r["id"] for r in audio.features(audio.sonify(e)).collect()} == {1}
+
+
+# --- words ---
+
+
+def test_words_and_winnowing_against_plain_python():
+    texts = ["Ab,c  d", "", None, "ÉTÉ — été…ñ　漢字。x_y", "a" * 70 + " " + "a" * 71, "the end"]
+    w = tc.words(pa.array(texts, type=pa.large_string()))
+    split = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), tc.SEPARATOR))
+    plain = [[x for x in split.split((t or "").lower()) if x] for t in texts]
+    assert np.diff(w.bounds()).tolist() == [len(p) for p in plain]
+    assert len({int(h) for h in w.hash}) == len({x for p in plain for x in p})
+    rng = np.random.default_rng(0)
+    g = rng.integers(0, 40, 300).astype(np.uint64)
+    row = np.sort(rng.integers(0, 4, 300))
+    grams = tc.grams(tc.mix(g), row, 3)
+    got = set(tc.winnow(grams, row, 3, 4).tolist())
+    want = set()
+    for i in range(300 - 5):
+        if row[i] == row[i + 5]:
+            part = grams[i : i + 4]
+            want |= {i + int(k) for k in np.flatnonzero(part == part.min())}
+    assert got == want

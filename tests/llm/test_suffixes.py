@@ -6,7 +6,7 @@ import pytest
 
 from millrace.llm import suffixes
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+from helpers import DOCS
 
 
 def brute(rows, least):
