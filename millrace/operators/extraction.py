@@ -10,7 +10,6 @@ from ..functions import markup, parsers
 from ..functions import text as tx
 from ..schemas import BUNDLES, ENGINE_VERSION, OCR_MEDIA, struct
 
-_COLUMNS = struct(BUNDLES).fieldNames()
 
 
 def _bundle(df: DataFrame, **given) -> DataFrame:

@@ -16,6 +16,9 @@ from ..session import ROOT
 from ..sources import files, sinks
 
 
+VAULT = "sha256 string, content binary, prefix string"
+
+
 class StageFailed(RuntimeError):
     """A stage whose failure rows aren't empty; nothing after it runs."""
 
@@ -64,7 +67,8 @@ class Run:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.work}/{name}")
+        reader = self.spark.read.schema(VAULT) if name == "vault" else self.spark.read
+        return reader.parquet(f"{self.work}/{name}")
 
     def _note(self, kind: str, **details) -> None:
         custody.append(f"{self.work}/custody.jsonl", kind, details, self.utc)
@@ -77,16 +81,15 @@ class Run:
 
     def scan(self) -> None:
         found = files.candidates(self.spark, self.source, self.config.max_file_bytes)
-        if os.path.exists(self.source):  # a local folder: links and special files are told apart on the driver
-            odd = files.listed(self.spark, self.source).where("problem IS NOT NULL").withColumn("content", F.lit(None).cast("binary")).withColumn("mtime_utc", F.lit(None).cast("string"))
-            found = found.withColumn("problem", F.lit(None).cast("string")).join(odd.select("relpath"), "relpath", "left_anti").unionByName(odd)
+        if os.path.exists(self.source):  # a local folder: what the source leaves out (links, special and empty files) is listed on the driver
+            odd = files.listed(self.spark, self.source).where("problem IS NOT NULL OR size_bytes = 0").withColumn("content", F.lit(None).cast("binary")).withColumn("mtime_utc", F.lit(None).cast("string"))
+        else:
+            odd = files.empty_files(self.spark, self.source).withColumn("problem", F.lit(None).cast("string")).withColumn("content", F.lit(None).cast("binary")).withColumn("mtime_utc", F.lit(None).cast("string"))
+        found = found.withColumn("problem", F.lit(None).cast("string")).join(odd.select("relpath"), "relpath", "left_anti").unionByName(odd)
         judged = self._save("judged", intake.judged(found, self.config))
         self._save("records", intake.records(judged, self.utc))
         self._save("drops", intake.drops(judged, self.utc))
         sinks.write_vault(intake.vault(judged), f"{self.work}/vault")
-        # a run without any accepted file has no vault yet
-        if not os.path.isdir(f"{self.work}/vault") or not any(n.startswith("prefix=") for n in os.listdir(f"{self.work}/vault")):
-            self.spark.createDataFrame([], "sha256 string, content binary").write.mode("overwrite").parquet(f"{self.work}/vault")
         self._note("scan_completed", records=self.table("records").count(), drops=self.table("drops").count())
 
     def extract(self, ocr: DataFrame | None = None) -> None:
@@ -123,7 +126,7 @@ class Run:
         clash = reconcile.upsert_plan(documents, old_docs, "sha256", "extraction_sha256").where("action = 'conflict'").limit(50).collect()
         if clash:
             raise StageFailed("merge", clash)
-        sinks.write_vault(self.table("vault").withColumn("prefix", F.substring("sha256", 1, 2)).select("prefix", "sha256", "content"), f"{self.output}/evidence")
+        sinks.write_vault(self.table("vault"), f"{self.output}/evidence")
         new = self._save("new_chunks", reconcile.only_new(chunks, old_chunks, "chunk_id"))
         self._save("new_documents", reconcile.only_new(documents, old_docs, "sha256")).write.mode("append").parquet(f"{self.output}/documents")
         new.write.mode("append").parquet(f"{self.output}/chunks")
@@ -147,7 +150,7 @@ class Run:
     def verify(self) -> None:
         """The published corpus against itself: object hashes, texts, sources and the seal."""
         chunks, docs = (self.spark.read.parquet(f"{self.output}/{n}") for n in ("chunks", "documents"))
-        objects = self.spark.read.parquet(f"{self.output}/evidence")
+        objects = self.spark.read.schema(VAULT).parquet(f"{self.output}/evidence")  # without any object there is no file to infer it from
         seal = self.spark.createDataFrame([files.load_json(f"{self.output}/seal.json", {})], "chunks_root string, documents_root string, manifest_root string, chunks string, documents string")
         self._require("verify", validate.union(
             validate.vault(objects), validate.text_hashes(chunks), validate.orphans(chunks, objects), validate.missing_objects(docs, objects), validate.seal(seal, chunks, docs, self._manifest())))

@@ -55,6 +55,19 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "relpath string, size_bytes bigint, problem string")
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """relpath and size_bytes (0) of empty files, which file sources skip, from any file system by its own listing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(conf)
+    base, found, rows = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/", fs.listFiles(top, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            rows.append((f.getPath().toUri().getPath()[len(base) :], 0))
+    return spark.createDataFrame(rows, "relpath string, size_bytes bigint")
+
+
 def json_lines(spark: SparkSession, path: str, ddl: str, strict: bool = True) -> DataFrame:
     """JSON lines under a closed schema, blank lines skipped.
 
