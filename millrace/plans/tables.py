@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import hashing as hs
 from ..operators import chunking
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return session.read(spark, f"{sf_dir}/{table}.parquet")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -56,3 +56,23 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(given)
     return given
+
+
+#: A table of fewer bytes for each core than this may have too few row groups for all cores.
+SPREAD_BYTES = 8 << 20
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one too small to have a row group for each core is spread by rows.
+
+    Larger tables are read as they lie, without a shuffle.
+    """
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 1 << 20 < size < cores * SPREAD_BYTES else df
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whatever file system it lies on."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
