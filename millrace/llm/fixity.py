@@ -23,6 +23,7 @@ FAN_BITS = 4
 FILE_LEVEL = 3
 LEVELS = 16
 BRANCH_BYTES = 32 << 20
+FEW = 10_000
 
 
 def warc(key: Column, url: Column, payload: Column) -> Column:
@@ -62,26 +63,26 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """The levels of one replica, from leaves up; the two lowest are cut, the others are a sixteenth of them and less."""
+    """The levels of one replica, from leaves up, each cut: a level is at most as large as the one below, mostly a sixteenth."""
 
     def __init__(self, pages: DataFrame):
         self.records = cut(records(pages))
         self.levels = [cut(leaves(self.records))]
-        # all ids share their highest bits well below LEVELS levels; stop when one node (and the null one) is left
+        # up to one node, or one of negative ids and one of the others, which never meet
         top = self.levels[0].agg(F.min("node"), F.max("node")).first()
         low, high = top[0] or 0, top[1] or 0
-        while len(self.levels) < LEVELS and (len(self.levels) <= FILE_LEVEL or low != high):
+        while len(self.levels) < LEVELS and (len(self.levels) <= FILE_LEVEL or (low, high) not in ((low, low), (-1, 0))):
             up = parents(self.levels[-1])
-            self.levels.append(cut(up) if len(self.levels) == 1 else up)
+            self.levels.append(cut(up))
             low, high = low >> FAN_BITS, high >> FAN_BITS
 
     def level(self, n: int) -> DataFrame:
         while len(self.levels) <= n:
-            self.levels.append(parents(self.levels[-1]))
+            self.levels.append(cut(parents(self.levels[-1])))
         return self.levels[n]
 
     def root(self) -> list[tuple]:
-        """(node, digest, bytes, records) of the top: one node, with a second for records without id."""
+        """(node, digest, bytes, records) of the top: at most three nodes, of negative, other and null ids."""
         return sorted(((r["node"], bytes(r["digest"]), r["n_bytes"], r["n"]) for r in self.levels[-1].collect()), key=str)
 
 
@@ -91,6 +92,14 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return t.where("NOT (da <=> db)").select(F.when(F.col("da").isNotNull(), F.col("node")).otherwise(F.col("other")).alias("node"))
 
 
+def _found(branch: DataFrame) -> DataFrame:
+    """Worked-out node numbers: as a literal, for broadcasting, while they are few; else as a checkpoint."""
+    rows = branch.limit(FEW + 1).collect()
+    if len(rows) <= FEW:
+        return F.broadcast(branch.sparkSession.createDataFrame(rows, "node bigint"))
+    return broadcast_if_small(cut(branch), BRANCH_BYTES, 16)
+
+
 def _below(nodes: DataFrame, branch: DataFrame, bits: int) -> DataFrame:
     up = branch.select(F.col("node").alias("_up"))
     return nodes.join(up, F.shiftright("node", bits).eqNullSafe(F.col("_up")), "left_semi")
@@ -114,17 +123,15 @@ def audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
     if a.root() == b.root():
         branch = a.level(0).select("node").limit(0)
         return _located(a, b, branch)
-    branch = cut(_differing(a.level(top), b.level(top)))
+    branch = _found(_differing(a.level(top), b.level(top)))
     for n in range(top - 1, -1, -1):
-        known = broadcast_if_small(branch, BRANCH_BYTES, 16)
-        branch = cut(_differing(_below(a.level(n), known, FAN_BITS), _below(b.level(n), known, FAN_BITS)))
+        branch = _found(_differing(_below(a.level(n), branch, FAN_BITS), _below(b.level(n), branch, FAN_BITS)))
     return _located(a, b, branch)
 
 
 def _located(a: Tree, b: Tree, branch: DataFrame) -> DataFrame:
     bits = FAN_BITS * FILE_LEVEL
-    branch = broadcast_if_small(branch, BRANCH_BYTES, 16)
-    files = broadcast_if_small(branch.select(F.shiftright("node", bits).alias("node")).distinct(), BRANCH_BYTES, 16)
+    files = _found(branch.select(F.shiftright("node", bits).alias("node")).distinct())
 
     def side(t: Tree, name: str) -> DataFrame:
         inside = _below(t.records.withColumnRenamed("key", "node"), files, bits)
