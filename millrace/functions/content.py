@@ -19,8 +19,8 @@ MAGIC = (
     ("25504446", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("49492A00", "tiff"),
     ("4D4D002A", "tiff"), ("424D", "bmp"), ("504B0304", "zip"), ("D0CF11E0A1B11AE1", "ole"),
 )
-STRUCTURED = ("pdf", "png", "jpeg", "tiff", "bmp", "zip", "ole")
-IMAGES = ("pdf", "png", "jpeg", "tiff", "bmp")
+IMAGES = tuple("bmp jpeg pdf png tiff".split())
+STRUCTURED = (*IMAGES, "ole", "zip")
 PROMISES = {
     "pdf": ".pdf", "png": ".png", "jpeg": ".jpg .jpeg", "tiff": ".tif .tiff", "bmp": ".bmp", "eml": ".eml", "txt": ".txt .md",
     "csv": ".csv", "html": ".html .htm", "docx": ".docx", "xlsx": ".xlsx", "doc": ".doc", "xls": ".xls",

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..schemas import SCHEMA_VERSION
 
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 _SHORT = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
 
 
 def canonical(value: object) -> str:
     """Canonical JSON on the driver: sorted names, no blanks, no ASCII escapes, nulls kept."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _ENCODER.encode(value)
 
 
 def sha256_json(value: object) -> str:

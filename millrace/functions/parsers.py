@@ -65,9 +65,14 @@ def read_mail(data: bytes) -> dict:
     text = "\n".join(t for t in texts if t is not None)
     if "�" in text:
         warnings.append("lossy decode: U+FFFD in body")
+
+    def as_sent(name: str) -> str | None:
+        value = m.get(name)
+        return None if value is None else str(value).strip() or None
+
     return {
-        "text": text, "subject": _flat(m.get("Subject")) or None, "date_raw": str(m.get("Date") or "").strip() or None,
-        "message_id": str(m.get("Message-ID") or "").strip() or None, "recipients": people, "raw_headers": headers, "warnings": warnings,
+        "text": text, "subject": _flat(m.get("Subject")) or None, "date_raw": as_sent("Date"),
+        "message_id": as_sent("Message-ID"), "recipients": people, "raw_headers": headers, "warnings": warnings,
     }
 
 

@@ -14,10 +14,8 @@ def is_blank(c: Column) -> Column:
 
 
 def check_window(target: int, overlap: int) -> None:
-    if target <= 0:
-        raise ValueError("target must be positive")
-    if not 0 <= overlap < target:
-        raise ValueError("overlap must lie in [0, target)")
+    if target < 1 or overlap < 0 or overlap >= target:
+        raise ValueError(f"windows of {target} with an overlap of {overlap}: the overlap must be less than the window, and neither negative")
 
 
 def window_spans(text: Column, target: int, overlap: int) -> Column:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
+from ..session import utc_now
 
 GENESIS = "0" * 64
 
@@ -21,15 +21,12 @@ def event(sequence: int, kind: str, details: dict, prev: str, utc: str) -> dict:
 
 def append(path: str, kind: str, details: dict, utc: str | None = None) -> dict:
     """Adds one event to a log file; by its nature one after the other."""
-    last = None
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                if line.strip():
-                    last = json.loads(line)
-    made = event(last["sequence"] + 1 if last else 0, kind, details, last["event_hash"] if last else GENESIS, utc or datetime.now(timezone.utc).isoformat(timespec="microseconds"))
-    with open(path, "a", encoding="utf-8", newline="\n") as f:
-        f.write(hs.canonical(made) + "\n")
+    log = Path(path)
+    lines = [x for x in log.read_bytes().split(b"\n") if x.strip()] if log.exists() else []
+    last = json.loads(lines[-1]) if lines else {"sequence": -1, "event_hash": GENESIS}
+    made = event(last["sequence"] + 1, kind, details, last["event_hash"], utc or utc_now())
+    with log.open("ab") as out:
+        out.write(f"{hs.canonical(made)}\n".encode())
     return made
 
 

@@ -19,7 +19,7 @@ class Targets:
         ("STANDARD", "sonnet"),
         ("FRONTIER", r"codex|kimi|grok|gemini-3.1-pro|gpt-5.4$|gpt-5.5|luna|terra|sol|opus|fable"),
     )
-    weights: dict[str, float] = field(default_factory=lambda: {"uncached": 1.0, "cache_write": 1.25, "cache_read": 0.1})
+    weights: dict[str, float] = field(default_factory=lambda: dict(cache_read=0.1, cache_write=1.25, uncached=1.0))
     mechanical: tuple[str, ...] = ("explore", "task")
     frontier_cost_share_max: float = 0.5
     avg_main_weighted_input_per_turn_max: float = 25_000
@@ -38,7 +38,7 @@ def tier(model: Column, targets: Targets = Targets()) -> Column:
 
 def cutoff_date(as_of: datetime, days: int | None, targets: Targets = Targets()) -> str:
     """The first date of the window; 0 and None days mean the default."""
-    return (as_of - timedelta(days=days or targets.window_days)).strftime("%Y-%m-%d")
+    return str((as_of - timedelta(days or targets.window_days)).date())
 
 
 def in_window(created_at: Column, first_date: str) -> Column:

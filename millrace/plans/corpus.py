@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 from dataclasses import asdict
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as hs
 from ..operators import chunking, custody, extraction, intake, merkle, reconcile, reports, validate
 from ..schemas import PUBLISHED_CHUNKS, RunConfig
-from ..session import ROOT
+from ..session import ROOT, utc_now
 from ..sources import files, sinks
 
 
@@ -56,7 +55,7 @@ class Run:
 
     def __init__(self, spark: SparkSession, source: str, work: str, output: str, config: RunConfig = RunConfig(), utc: str | None = None):
         self.spark, self.source, self.work, self.output, self.config = spark, source, work, output, config
-        self.utc = utc or datetime.now(timezone.utc).isoformat(timespec="microseconds")
+        self.utc = utc or utc_now()
         self.run_id = hs.sha256_json({"source": source, "utc": self.utc})[:16]
         os.makedirs(work, exist_ok=True)
         os.makedirs(output, exist_ok=True)

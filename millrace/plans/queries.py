@@ -30,7 +30,7 @@ def _path(alias: str = "") -> str:
     return f"{alias}source || '/' || {alias}doc_id::VARCHAR || '.txt'"
 
 
-# --- content addressing -------------------------------------------------------------------------
+# content addressing
 
 
 @query(f"""SELECT sha256(text) AS sha256, count(*)::BIGINT AS copies, max(strlen(text))::BIGINT AS size_bytes,
@@ -62,7 +62,7 @@ def vault_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("sha256", hs.vault_path(F.col("sha256")).alias("vault_relpath"), "size_bytes")
 
 
-# --- chunks -------------------------------------------------------------------------------------
+# chunks
 
 
 def _spans(target: int, overlap: int) -> str:
@@ -139,7 +139,7 @@ def append_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.only_new(t.where("lang <> 'en'"), t.where("lang = 'en'"), "chunk_id").select("chunk_id")
 
 
-# --- reports ------------------------------------------------------------------------------------
+# reports
 
 
 @query(_spans(2000, 200) + _PIECES + f""", n AS (SELECT source_sha256, count(*) AS n FROM (SELECT DISTINCT source_sha256, s, e FROM q) u GROUP BY source_sha256),
@@ -231,7 +231,7 @@ def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(intake.records(intake_rows(spark, sf_dir), ""), tb.read(spark, sf_dir, "labels").where("toxic = 1"), tb.read(spark, sf_dir, "conversations"))
 
 
-# --- reconciliation -----------------------------------------------------------------------------
+# reconciliation
 
 
 @query("""SELECT coalesce(d.doc_id, l.k) AS doc_id, CASE WHEN l.k IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unlisted' WHEN d.a = l.b THEN 'match' ELSE 'mismatch' END AS status
@@ -283,7 +283,7 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.systematic_sample(tb.read(spark, sf_dir, "documents").select("doc_id"), "doc_id", size=300)
 
 
-# --- hashes -------------------------------------------------------------------------------------
+# hashes
 
 _LEVELS = "WITH l0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS i, unhex(sha256(unhex('00') || unhex(h))) AS h FROM (SELECT sha256(n_name) AS h FROM nation) x)" + "".join(
     f", l{k} AS (SELECT i // 2 AS i, unhex(sha256(unhex('01') || arg_min(h, i) || arg_max(h, i))) AS h FROM l{k - 1} GROUP BY i // 2)" for k in range(1, 6))
@@ -316,7 +316,7 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(hs.canonical_json(lang=F.col("lang"), n=(F.col("n_chars"), "raw"), source=F.col("source"), none=F.lit(None).cast("string")), 256).alias("h"))
 
 
-# --- usage --------------------------------------------------------------------------------------
+# usage
 
 _MODEL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tb.MODELS.items()) + " END"
 _TIER = "CASE WHEN coalesce(model, '') = '' THEN 'UNKNOWN' " + " ".join(f"WHEN regexp_matches(lower(model), '{p}') THEN '{t}'" for t, p in usage.Targets().tiers) + " ELSE 'UNKNOWN' END"
@@ -418,7 +418,7 @@ def role_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("main_turns"), F.count_if(F.col("role") != "user").alias("other_turns"), F.count(F.lit(1)).alias("turns"))
 
 
-# --- HTML and strings ---------------------------------------------------------------------------
+# HTML and strings
 
 
 def _replaced(column: str) -> str:
@@ -481,7 +481,7 @@ def header_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.read(spark, sf_dir, "documents").select("doc_id", content.looks_like_header(line).alias("header_like"))
 
 
-# --- decisions ----------------------------------------------------------------------------------
+# decisions
 
 
 @query("""WITH s AS (SELECT doc_id // 9 AS run, 85 + (doc_id * 7) % 16 AS score FROM labels), g AS (SELECT run, count(score)::BIGINT AS scores, min(score)::BIGINT AS lowest FROM s GROUP BY run)

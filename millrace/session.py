@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,11 @@ def shared_folder(spark: SparkSession) -> str:
 SPREAD_BYTES = 8 << 20
 
 
+def utc_now() -> str:
+    """ISO text with microseconds."""
+    return datetime.now(UTC).isoformat(timespec="microseconds")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table; one too small to have a row group for each core is spread by rows.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import stat
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,15 +159,14 @@ def recognised(raw: DataFrame) -> DataFrame:
         F.sha2("raw", 256).alias("ocr_raw_sha256"))
 
 
-def split_ranges(pages: int, per_part: int = 15) -> list[tuple[int, int]]:
+def split_ranges(pages: int, per_part: int = 15) -> list[tuple]:
     """1-based inclusive page ranges of at most per_part pages."""
     return [(a, min(a + per_part - 1, pages)) for a in range(1, pages + 1, per_part)]
 
 
 def load_json(path: str, default: object) -> object:
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(Path(path).read_bytes())
     except (OSError, ValueError):
         return default
 

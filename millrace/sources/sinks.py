@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def write_lines(df: DataFrame, path: str, *order: str, files: int | None = None)
 def write_vault(objects: DataFrame, path: str) -> None:
     """(prefix, sha256, content) by prefix; objects that are there already are left alone."""
     spark = objects.sparkSession
-    if os.path.isdir(path) and any(n.startswith("prefix=") for n in os.listdir(path)):
+    if any(Path(path).glob("prefix=*")):
         objects = objects.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
     objects.select("sha256", "content", "prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
@@ -69,19 +69,16 @@ def publish_tables(path: str, **tables: DataFrame) -> None:
         df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").createOrReplaceTempView(name)
 
 
-def write_json(path: str, value: object) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        json.dump(value, f, indent=1, sort_keys=True, ensure_ascii=False)
-        f.write("\n")
+def write_text(path: str, value: str) -> None:
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_bytes(value.encode())
 
 
-def write_text(path: str, value: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write(value)
+def write_json(path: str, value: object) -> None:
+    write_text(path, json.dumps(value, indent=1, sort_keys=True, ensure_ascii=False) + "\n")
 
 
 def lock(path: str) -> None:
     """Makes a published local file read-only."""
-    os.chmod(path, 0o444)
+    Path(path).chmod(0o444)

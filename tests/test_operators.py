@@ -5,6 +5,7 @@ import json
 from datetime import datetime
 
 import pytest
+from plain import canonical
 from pyspark.sql import functions as F
 
 from millrace import schemas
@@ -91,7 +92,7 @@ def test_chain(spark, tmp_path, damage, want):
         events[0] = custody.event(0, "step", {}, "1" * 64, "2024")
     if damage == "renumbered":
         events = events[:2] + [custody.event(5, "step", {}, events[1]["event_hash"], "2024")]
-    rows = [(i, e["sequence"], e["utc"], e["event"], json.dumps(e["details"], sort_keys=True, separators=(",", ":"), ensure_ascii=False), e["prev_sha256"], e["event_hash"]) for i, e in enumerate(events)]
+    rows = [(i, e["sequence"], e["utc"], e["event"], canonical(e["details"]), e["prev_sha256"], e["event_hash"]) for i, e in enumerate(events)]
     r = custody.verify(spark.createDataFrame(rows, "line_no int, " + schemas.CUSTODY)).first()
     assert r["events"] == len(events) and r["valid"] == (want is None)
     assert want is None or (r["first_line"], r["first_error"]) == want
