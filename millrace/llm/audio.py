@@ -96,8 +96,8 @@ def log_mel(y: np.ndarray, s: Settings, bank: np.ndarray, block: int = 4096) ->
     return np.concatenate(energy), np.concatenate(level)
 
 
-def segments(level: np.ndarray, s: Settings) -> list[tuple[int, int]]:
-    """[from, to) of frames: runs at low_db or more, joined over gaps of at most `gap`, of at least `least` frames, that reach high_db."""
+def segments(level: np.ndarray, s: Settings) -> list[tuple]:
+    """Frames [from, to): runs at low_db or more, joined over gaps of at most `gap`, of at least `least` frames, that reach high_db."""
     on = np.concatenate([[False], level >= s.low_db, [False]])
     start, end = np.flatnonzero(~on[:-1] & on[1:]), np.flatnonzero(on[:-1] & ~on[1:])
     joined: list[list[int]] = []

@@ -21,7 +21,7 @@ def edited(rng, w, share):
     return out
 
 
-# --- SimHash ---
+# SimHash
 
 
 def near_corpus(seed=1, n=300):
@@ -110,7 +110,7 @@ def test_near_copies_pair_and_others_do_not():
     assert (d[:n, :n][np.triu_indices(n, 1)] > simhash.RADIUS).all()
 
 
-# --- winnowing ---
+# winnowing
 
 
 def spans(doc, item, least):
@@ -154,7 +154,7 @@ def test_winnowing_finds_every_span(spark, limit):
     assert kept == sorted(str(i) for i in [*range(40), None, 7] if i not in bad)
 
 
-# --- mixing ---
+# mixing
 
 
 def fill(sizes, weights, budget, epochs):
@@ -198,7 +198,7 @@ def test_mixture_repeats_and_thins(spark):
     assert other != got
 
 
-# --- sharding ---
+# sharding
 
 
 @pytest.mark.parametrize("shards,size", [(1, None), (7, None), (None, 1000), (200, None)])
@@ -216,7 +216,7 @@ def test_shards_are_contiguous_and_balanced(spark, shards, size):
     assert sorted((tuple(r) for r in got), key=lambda r: r[3]) == want
 
 
-# --- fixity ---
+# fixity
 
 
 def test_audit_finds_all_damage_and_nothing_else(spark):
@@ -245,7 +245,7 @@ def test_tree_levels(spark):
     assert t.root() == fixity.Tree(a.repartition(3)).root()
 
 
-# --- classifiers ---
+# classifiers
 
 
 def two_kinds(rng, n, marked, marks, share=0.06, low=30, high=200):
@@ -352,7 +352,7 @@ def test_temperature_calibrates():
     assert langid.temperature(logits * 4, y) == pytest.approx(4, rel=0.15)
 
 
-# --- audio ---
+# audio
 
 
 def test_resampling_equals_direct_convolution():
@@ -424,7 +424,7 @@ def test_sonify(spark):
     assert {r["id"] for r in audio.features(audio.sonify(e)).collect()} == {1}
 
 
-# --- words ---
+# words
 
 
 def test_words_and_winnowing_against_plain_python():
