@@ -6,8 +6,11 @@ kept, and returns the columns of documents; the last returns the shard index.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace import session
 from millrace.llm import mixing, sharding, simhash, toxicity, winnowing
 
 
@@ -50,8 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents.  Nothing is written between them here: Spark plans them as one job where it can."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages on documents.
+
+    What a stage keeps is written to the shared folder and read again, so that
+    none is worked out twice and a lost executor costs its own tasks only; the
+    table before is then removed.
+    """
+    folder = f"{session.shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = session.read(spark, f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = session.read(spark, f"{folder}/{k}")
+        if before:
+            session.delete(spark, before)
+        before = f"{folder}/{k}"
+    return STAGES[-1][1](spark, docs, sf_dir)
