@@ -19,18 +19,23 @@ travel as one stretch of words.  A window whose minimiser occurs only once in
 the whole corpus cannot repeat; minimisers are counted first, those that occur
 again go into a Bloom filter of bounded size, and the other windows stay where
 they are.  What the filter lets through by mistake is found unrepeated later.
+
+repeats() does this for a whole table at once; Index keeps the levels as tables
+and takes batches as they come.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import delete
 from . import textcore as tc
 from .common import cut, ready
 
@@ -195,26 +200,15 @@ def _runs(row: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.n
     return row[head], at[head], at[tail] + least
 
 
-def repeats(docs: DataFrame, least: int = LEAST, k: int = K, batch_words: int = BATCH_WORDS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """doc_id, start, end and n_words of each maximal stretch covered by repeated passages of at least `least` words.
-
-    Words are counted from 0, end is exclusive (see textcore for words).  Every
-    occurrence is reported, the first too, and also passages that repeat within
-    one document.  A repeated row counts as another occurrence.  Rows without
-    doc_id count as occurrences but aren't reported; null, empty and shorter
-    texts have no passages; other columns are ignored; an empty table gives an
-    empty result.
-    """
-    spark = ready(docs)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sieve = spark.sparkContext.broadcast(_filter(cut(_counted(docs, least, k)), max_filter_bits))
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretches(docs: DataFrame, least: int, k: int, sieve=None) -> DataFrame:
+    """key, doc_id, start and words of the stretches of neighbouring windows with one minimiser: all, or those the filter lets through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tc.steps(batch, "text"):
                 w, m, whole = _minimisers(tc.column(part, "text"), least, k)
-                hot = np.zeros(len(m), bool)
-                hot[whole] = sieve.value.has(m[whole])
+                hot = whole.copy()
+                if sieve is not None:
+                    hot[whole] = sieve.value.has(m[whole])
                 i = np.flatnonzero(hot)
                 if not len(i):
                     continue
@@ -232,6 +226,12 @@ def repeats(docs: DataFrame, least: int = LEAST, k: int = K, batch_words: int =
                     names=["key", "doc_id", "start", "words"],
                 )
 
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, start bigint, words binary")
+
+
+def _repeated(stretches: DataFrame, least: int, batch_words: int) -> DataFrame:
+    """doc_id, start, end and n_words of what repeats among stretches: one family per partition, equal keys in one."""
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family(least)
         ids, starts, held, size = [], [], [], 0
@@ -261,8 +261,8 @@ def repeats(docs: DataFrame, least: int = LEAST, k: int = K, batch_words: int =
             yield from flush()
         yield from rows(*family.repeated())
 
-    moved = docs.mapInArrow(stretches, "key bigint, doc_id bigint, start bigint, words binary").repartition("key")
-    covered = moved.drop("key").mapInArrow(match, "doc_id bigint, start bigint, end bigint")
+    moved = stretches.repartition("key").drop("key")
+    covered = moved.mapInArrow(match, "doc_id bigint, start bigint, end bigint")
     # union of the stretches of each document
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -272,3 +272,80 @@ def repeats(docs: DataFrame, least: int = LEAST, k: int = K, batch_words: int =
         island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))
     )
+
+
+def repeats(docs: DataFrame, least: int = LEAST, k: int = K, batch_words: int = BATCH_WORDS, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """doc_id, start, end and n_words of each maximal stretch covered by repeated passages of at least `least` words.
+
+    Words are counted from 0, end is exclusive (see textcore for words).  Every
+    occurrence is reported, the first too, and also passages that repeat within
+    one document.  A repeated row counts as another occurrence.  Rows without
+    doc_id count as occurrences but aren't reported; null, empty and shorter
+    texts have no passages; other columns are ignored; an empty table gives an
+    empty result.
+    """
+    spark = ready(docs)
+    sieve = spark.sparkContext.broadcast(_filter(cut(_counted(docs, least, k)), max_filter_bits))
+    return _repeated(_stretches(docs, least, k, sieve), least, batch_words)
+
+
+class Index:
+    """A family kept in a folder that all executors share, for corpora that arrive batch by batch.
+
+    A level is a table of stretches.  add() scans a batch against the stretches
+    of each level that have its minimisers, and returns what repeats; then the
+    batch becomes a level, and while the last level is at least as large as the
+    one before it both are written as one.  The list of levels is a table with a
+    number of its own, written last: what a lost job leaves behind isn't listed.
+    Unlike repeats() it can't know which windows will never come again, so all
+    are kept: about two and a half times the text.
+    """
+
+    SCHEMA = "key bigint, doc_id bigint, start bigint, words binary"
+
+    def __init__(self, spark: SparkSession, folder: str, least: int = LEAST, k: int = K, batch_words: int = BATCH_WORDS):
+        self.spark, self.folder, self.least, self.k, self.batch_words = spark, folder.rstrip("/"), least, k, batch_words
+
+    def _version(self) -> int:
+        """The greatest number of a whole list of levels; -1 for none."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/levels-*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        return max((int(f.getPath().getParent().getName().split("-")[1]) for f in found or []), default=-1)
+
+    def levels(self) -> list[tuple[str, int]]:
+        """(name, stretches) of each level, the oldest and largest first."""
+        n = self._version()
+        if n < 0:
+            return []
+        rows = self.spark.read.schema("place int, name string, size bigint").parquet(f"{self.folder}/levels-{n}").collect()
+        return [(r["name"], r["size"]) for r in sorted(rows)]
+
+    def _level(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/{name}")
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """What repeats() says of the batch and of older documents that share a passage with it; columns and odd rows as there."""
+        ready(docs)
+        levels, gone = self.levels(), []
+        name = f"level-{uuid.uuid4().hex}"
+        _stretches(docs, self.least, self.k).write.parquet(f"{self.folder}/{name}")
+        new = self._level(name)
+        met = new
+        for old, _ in levels:
+            met = met.unionByName(self._level(old).join(new.select("key").distinct(), "key", "left_semi"))
+        found = cut(_repeated(met, self.least, self.batch_words))  # before any level is merged away
+        levels.append((name, new.count()))
+        while len(levels) > 1 and levels[-1][1] >= levels[-2][1]:
+            (b, n), (a, m) = levels.pop(), levels.pop()
+            merged = f"level-{uuid.uuid4().hex}"
+            self._level(a).unionByName(self._level(b)).repartition("key").sortWithinPartitions("key").write.parquet(f"{self.folder}/{merged}")
+            levels.append((merged, m + n))
+            gone += [a, b]
+        version = self._version()
+        rows = [(i, x, n) for i, (x, n) in enumerate(levels)]
+        self.spark.createDataFrame(rows, "place int, name string, size bigint").coalesce(1).write.parquet(f"{self.folder}/levels-{version + 1}")
+        for old in gone:
+            delete(self.spark, f"{self.folder}/{old}")
+        if version >= 0:
+            delete(self.spark, f"{self.folder}/levels-{version}")
+        return found

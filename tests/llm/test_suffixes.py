@@ -69,6 +69,29 @@ def test_levels_grow_geometrically_and_find_everything():
     assert hits == {(i, a) for i, w in enumerate(text) for a in range(len(w) - 5) if seen[tuple(w[a : a + 6])] > 1}
 
 
+def covered(spans):
+    return {(i, k) for i, a, b, _ in spans for k in range(a, b)}
+
+
+def test_index_takes_batches(spark, tmp_path):
+    rows = corpus(5)
+    index = suffixes.Index(spark, str(tmp_path / "index"), least=10, k=4, batch_words=500)
+    got, sizes = set(), []
+    for n in range(5):
+        part = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows[n::5]], DOCS)
+        got |= covered(map(tuple, index.add(part).collect()))
+        assert got >= covered(brute([r for m in range(n + 1) for r in rows[m::5]], 10))
+        sizes.append([m for _, m in index.levels()])
+        assert all(a > b for a, b in zip(sizes[-1], sizes[-1][1:]))
+    assert got == covered(brute(rows, 10))
+    # a list of levels that was never finished is not read, and nothing else is left behind
+    (tmp_path / "index" / "levels-99").mkdir()
+    assert [m for _, m in suffixes.Index(spark, str(tmp_path / "index")).levels()] == sizes[-1]
+    kept = {p.name for p in (tmp_path / "index").iterdir()} - {"levels-99", "levels-4"}
+    assert kept == {n for n, _ in index.levels()}
+    assert index.add(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_empty_and_extra_columns(spark):
     docs = spark.createDataFrame([], DOCS)
     assert suffixes.repeats(docs).count() == 0
