@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import ready
+from .common import broadcast_if_small, cut, ready
 
 BITS = 16
 SCHEMA = "doc_id bigint, predicted string, confidence double"
+SAMPLE_BYTES = 32 << 20
 
 
 def counts(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,10 +194,12 @@ def sample(docs: DataFrame, per_language: int, seed: int) -> list[tuple[str, str
     sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     at = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     share = (F.lit(2.0) * per_language + 64) / F.col("size") * (1 << 30)
-    thin = ids.join(F.broadcast(sizes), "lang").withColumn("at", at).where(F.col("at") < share)  # one row per language
+    sizes = broadcast_if_small(cut(sizes), SAMPLE_BYTES, 64)  # one row per language
+    thin = ids.join(sizes, "lang").withColumn("at", at).where(F.col("at") < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
     chosen = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("y"), "at").distinct()
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    chosen = broadcast_if_small(cut(chosen), SAMPLE_BYTES, 64)
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
     rows = rows.select("at", "doc_id", "y", "text").toArrow().sort_by([("at", "ascending"), ("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
     return list(zip(rows["text"].to_pylist(), rows["y"].to_pylist()))
 
