@@ -67,4 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             session.delete(spark, before)
         before = f"{folder}/{k}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    shards = STAGES[-1][1](spark, docs, sf_dir)
+    # sharding has read its input by now: the result hangs on a checkpoint of the keys alone
+    session.delete(spark, folder)
+    return shards
