@@ -1,6 +1,6 @@
 """SimHash near-duplicates by vantage-point trees (operator 6).
 
-Fingerprint: 128 SimHash bits over a text's distinct words, and a unary code of
+Fingerprint: 256 SimHash bits (WORDS of 64) over a text's distinct words, and a unary code of
 its length (UNARY * ln(words) ones, kept as their number).  Two fingerprints
 are a pair if they differ in at most `radius` SimHash bits and at most `slack`
 unary bits; both are Hamming distances, so the triangle inequality holds for
@@ -36,7 +36,10 @@ from . import textcore as tc
 from .common import broadcast_if_small, cut, fresh, ready
 
 UNARY = 100
-RADIUS = 23
+WORDS = 4
+PRINT = tuple(f"f{i}" for i in range(WORDS))
+KEY = (*PRINT, "code")
+RADIUS = 51
 SLACK = 6
 #: Below this many words the fingerprint is a hash of the word sequence: only equal sequences pair.
 LEAST_WORDS = 8
@@ -49,14 +52,19 @@ _LANES = np.array([sum(((v >> b) & 1) << (16 * b) for b in range(4)) for v in ra
 _SEGMENT = 32_768
 
 
-def _simhash(feature: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each row from 64-bit features sorted by row: the majority of each bit.
+def _bits_of(feature: np.ndarray) -> list[np.ndarray]:
+    """WORDS independent 64-bit hashes of each feature."""
+    return [feature if not i else tc.mix(feature + np.uint64(i)) for i in range(WORDS)]
+
+
+def _simhash(feature: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """(WORDS, rows) from 64-bit features sorted by row: each bit's majority.
 
     Four bits are counted at once in the 16-bit lanes of a 64-bit sum.
     """
-    out = np.zeros((rows, 2), np.uint64)
+    out = np.zeros((WORDS, rows), np.uint64)
     if not len(feature):
-        return out[:, 0], out[:, 1]
+        return out
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(row)]]))
     pieces = -(-sizes // _SEGMENT)
@@ -64,19 +72,19 @@ def _simhash(feature: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarra
     first = np.cumsum(pieces) - pieces
     cuts = starts[owner] + (np.arange(len(owner)) - first[owner]) * _SEGMENT
     present = row[starts]
-    for half, f in enumerate((feature, tc.mix(feature))):
+    for half, f in enumerate(_bits_of(feature)):
         for nibble in range(16):
             lanes = np.add.reduceat(_LANES[(f >> np.uint64(4 * nibble)) & np.uint64(15)], cuts)
             for b in range(4):
                 ones = ((lanes >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
                 if len(owner) != len(starts):
                     ones = np.add.reduceat(ones, first)
-                out[present, half] |= (2 * ones > sizes).astype(np.uint64) << np.uint64(4 * nibble + b)
-    return out[:, 0], out[:, 1]
+                out[half, present] |= (2 * ones > sizes).astype(np.uint64) << np.uint64(4 * nibble + b)
+    return out
 
 
-def fingerprint(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both halves of the SimHash and the number of words of each text."""
+def fingerprint(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash (WORDS, texts) and the number of words of each text."""
     w = tc.words(column)
     bounds = w.bounds()
     n = np.diff(bounds)
@@ -84,33 +92,42 @@ def fingerprint(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.sort((w.row.astype(np.uint64) << np.uint64(40)) | (w.hash >> np.uint64(24)))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    hi, lo = _simhash(tc.mix(key & np.uint64((1 << 40) - 1)), (key >> np.uint64(40)).astype(np.int64), w.rows)
+    out = _simhash(tc.mix(key & np.uint64((1 << 40) - 1)), (key >> np.uint64(40)).astype(np.int64), w.rows)
     for i in np.flatnonzero((n > 0) & (n < LEAST_WORDS)):
         h = np.uint64(n[i])
         for x in w.hash[bounds[i] : bounds[i + 1]]:
             h = tc.mix(np.array([h ^ x]))[0]
-        hi[i], lo[i] = h, tc.mix(np.array([h]))[0]
-    return hi, lo, n
+        out[:, i] = [x[0] for x in _bits_of(np.array([h]))]
+    return out, n
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, hi, lo and length code of each row with a doc_id and at least one word, in one pass."""
+    """doc_id, the SimHash words and the length code of each row with a doc_id and at least one word, in one pass."""
     ready(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tc.steps(batch, "text"):
-                hi, lo, n = fingerprint(tc.column(part, "text"))
+                words, n = fingerprint(tc.column(part, "text"))
                 ids = pc.cast(tc.column(part, "doc_id"), pa.int64())
                 code = np.floor(UNARY * np.log(np.maximum(n, 1))).astype(np.int32)
-                out = pa.RecordBatch.from_arrays([ids, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(code)], names=["doc_id", "hi", "lo", "code"])
+                out = pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in words), pa.array(code)], names=["doc_id", *KEY])
                 yield out.filter(pc.and_(pa.array(n > 0), pc.is_valid(ids)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, hi bigint, lo bigint, code int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {_DDL}")
+
 
+_DDL = ", ".join([f"{c} bigint" for c in PRINT] + ["code int"])
+#: The words of some fingerprints, and their length codes.
+Points = tuple[np.ndarray, np.ndarray]
 
-def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints whose words lie on the first axis; the rest is broadcast."""
+    d = np.bitwise_count(a[0] ^ b[0]).astype(np.uint16)
+    for x, y in zip(a[1:], b[1:]):
+        d += np.bitwise_count(x ^ y)
+    return d
 
 
 @dataclass
@@ -118,19 +135,18 @@ class Tree:
     """Split nodes: vantage (None: the empty unary code), cut, and the two sides; a leaf has its number."""
 
     leaf: int = -1
-    vantage: tuple[int, int] | None = None
+    vantage: tuple[int, ...] | None = None
     cut: int = 0
     inner: Tree | None = None
     outer: Tree | None = None
     leaves: int = field(default=1)
 
-    def distance(self, hi: np.ndarray, lo: np.ndarray, code: np.ndarray) -> np.ndarray:
+    def distance(self, words: np.ndarray, code: np.ndarray) -> np.ndarray:
         if self.vantage is None:
             return code.astype(np.int64)
-        v = np.array(self.vantage, np.uint64)
-        return _bits(hi, v[0]).astype(np.int64) + _bits(lo, v[1])
+        return hamming(words, np.array(self.vantage, np.uint64)[:, None]).astype(np.int64)
 
-    def route(self, hi: np.ndarray, lo: np.ndarray, code: np.ndarray, radius: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, words: np.ndarray, code: np.ndarray, radius: int, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(point, leaf, whether it is the point's home) for every shard that a point's ball reaches."""
         points, leaves, homes = [], [], []
 
@@ -140,7 +156,7 @@ class Tree:
             if node.inner is None:
                 points.append(at), leaves.append(np.full(len(at), node.leaf)), homes.append(home)
                 return
-            d = node.distance(hi[at], lo[at], code[at])
+            d = node.distance(words[:, at], code[at])
             reach = slack if node.vantage is None else radius
             inside = d <= node.cut
             # a pair within reach on the inner side needs d - reach <= cut, on the outer d + reach > cut
@@ -148,24 +164,24 @@ class Tree:
             down(node.inner, at[into], (home & inside)[into])
             down(node.outer, at[out], (home & ~inside)[out])
 
-        down(self, np.arange(len(hi)), np.ones(len(hi), bool))
+        down(self, np.arange(len(code)), np.ones(len(code), bool))
         return np.concatenate(points or [np.zeros(0, np.int64)]), np.concatenate(leaves or [np.zeros(0, np.int64)]), np.concatenate(homes or [np.zeros(0, bool)])
 
 
-def grow(hi: np.ndarray, lo: np.ndarray, code: np.ndarray, radius: int, slack: int, leaf_share: float = LEAF_SHARE, tries: int = 6, seed: int = 6) -> Tree:
+def grow(words: np.ndarray, code: np.ndarray, radius: int, slack: int, leaf_share: float = LEAF_SHARE, tries: int = 6, seed: int = 6) -> Tree:
     """A vantage-point tree on sample points; splits until a leaf has leaf_share of them or no split prunes."""
     rng = np.random.default_rng(seed)
-    least = max(2, int(len(hi) * leaf_share))
+    least = max(2, int(len(code) * leaf_share))
     counter = iter(range(1 << 30))
 
     def split(at: np.ndarray) -> Tree:
         best = None
         if len(at) > least:
-            options: list[tuple[int, int] | None] = [None]
-            options += [(int(hi[i]), int(lo[i])) for i in rng.choice(at, min(tries, len(at)), replace=False)]
+            options: list[tuple[int, ...] | None] = [None]
+            options += [tuple(map(int, words[:, i])) for i in rng.choice(at, min(tries, len(at)), replace=False)]
             for v in options:
                 node = Tree(vantage=v)
-                d = node.distance(hi[at], lo[at], code[at])
+                d = node.distance(words[:, at], code[at])
                 node.cut = int(np.median(d))
                 reach = slack if v is None else radius
                 inner, outer = (d - reach <= node.cut).mean(), (d + reach > node.cut).mean()
@@ -178,7 +194,7 @@ def grow(hi: np.ndarray, lo: np.ndarray, code: np.ndarray, radius: int, slack: i
         node.inner, node.outer = split(at[inside]), split(at[~inside])
         return node
 
-    root = split(np.arange(len(hi)))
+    root = split(np.arange(len(code)))
     root.leaves = next(counter)
     return root
 
@@ -203,23 +219,20 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _near(q: tuple, h: tuple, radius: int, slack: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _near(q: Points, h: Points, radius: int, slack: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs and distances of queries and home points in reach; both sorted by code."""
-    at = 0
-    while at < len(q[2]):
-        lo_at = np.searchsorted(h[2], q[2][at] - slack, "left")
-        upto = min(len(q[2]), at + 64)
-        hi_at = np.searchsorted(h[2], q[2][upto - 1] + slack, "right")
-        step = max(1, min(64, block // max(1, hi_at - lo_at)))
-        upto = min(len(q[2]), at + step)
-        hi_at = np.searchsorted(h[2], q[2][upto - 1] + slack, "right")
-        if hi_at > lo_at:
-            d = np.bitwise_count(q[0][at:upto, None] ^ h[0][None, lo_at:hi_at])
-            d += np.bitwise_count(q[1][at:upto, None] ^ h[1][None, lo_at:hi_at])
+    (qw, qc), (hw, hc), at = q, h, 0
+    while at < len(qc):
+        first = np.searchsorted(hc, qc[at] - slack, "left")
+        last = np.searchsorted(hc, qc[min(len(qc), at + 64) - 1] + slack, "right")
+        upto = min(len(qc), at + max(1, min(64, block // max(1, last - first))))
+        last = np.searchsorted(hc, qc[upto - 1] + slack, "right")
+        if last > first:
+            d = hamming(qw[:, at:upto, None], hw[:, None, first:last])
             i, j = np.nonzero(d <= radius)
             if len(i):
-                near = np.abs(q[2][at + i] - h[2][lo_at + j]) <= slack
-                yield at + i[near], lo_at + j[near], d[i[near], j[near]]
+                near = np.abs(qc[at + i] - hc[first + j]) <= slack
+                yield at + i[near], first + j[near], d[i[near], j[near]]
         at = upto
 
 
@@ -227,14 +240,13 @@ def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
     """leaf, tile, home and the point's columns: what each task of the search gets."""
     spark = distinct.sparkSession
     n = distinct.count()
-    take = distinct.orderBy(F.xxhash64("hi", "lo", "code"), "rep").limit(SAMPLE).toArrow() if n else distinct.limit(0).toArrow()
-    get = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-    tree = grow(get(take, "hi").view(np.uint64), get(take, "lo").view(np.uint64), get(take, "code").astype(np.int64), radius, slack)
+    take = distinct.orderBy(F.xxhash64(*KEY), "rep").limit(SAMPLE).toArrow() if n else distinct.limit(0).toArrow()
+    tree = grow(*_points(take), radius, slack)
     tile_points = TILE_POINTS
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, leaf, own = tree.route(*_point(b), radius, slack)
+            p, leaf, own = tree.route(*_points(b), radius, slack)
             yield pa.RecordBatch.from_arrays([pa.array(leaf[own].astype(np.int32))], names=["leaf"])
 
     counts = {r["leaf"]: r["count"] for r in distinct.mapInArrow(home, "leaf int").groupBy("leaf").count().collect()}
@@ -246,13 +258,13 @@ def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, tiles = tiles_b.value
         for b in batches:
-            hi, lo, code = _point(b)
-            p, leaf, own = tree.route(hi, lo, code, radius, slack)
-            at_home = np.zeros(len(hi), np.int64)
+            words, code = _points(b)
+            p, leaf, own = tree.route(words, code, radius, slack)
+            at_home = np.zeros(len(code), np.int64)
             at_home[p[own]] = leaf[own]
             keep = leaf >= at_home[p]  # a pair across shards is found in the one with the greater number
             p, leaf, own = p[keep], leaf[keep], own[keep]
-            tile = (tc.mix(hi ^ tc.mix(lo)) % tiles[at_home].astype(np.uint64)).astype(np.int64)
+            tile = (tc.mix(words[0] ^ tc.mix(words[1])) % tiles[at_home].astype(np.uint64)).astype(np.int64)
             first = np.where(own, tile[p], 0)  # at home: its own tile and those after it
             many = tiles[leaf] - first
             row = np.repeat(np.arange(len(p)), many)
@@ -260,34 +272,37 @@ def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
             q = p[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(leaf[row].astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(own[row] & (t == first[row])),
-                 *(b.column(b.schema.get_field_index(c)).take(pa.array(q)) for c in ("hi", "lo", "code", "rep"))],
-                names=["leaf", "tile", "home", "hi", "lo", "code", "rep"],
+                 *(b.column(b.schema.get_field_index(c)).take(pa.array(q)) for c in (*KEY, "rep"))],
+                names=["leaf", "tile", "home", *KEY, "rep"],
             )
 
-    return distinct.mapInArrow(run, "leaf int, tile int, home boolean, hi bigint, lo bigint, code int, rep bigint")
+    return distinct.mapInArrow(run, f"leaf int, tile int, home boolean, {_DDL}, rep bigint")
+
 
+def _points(t: pa.RecordBatch | pa.Table) -> Points:
+    def get(c: str) -> np.ndarray:
+        x = t.column(t.schema.get_field_index(c))
+        return (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).to_numpy(zero_copy_only=False)
 
-def _point(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    get = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-    return get("hi").view(np.uint64), get("lo").view(np.uint64), get("code").astype(np.int64)
+    return np.stack([get(c).view(np.uint64) for c in PRINT]), get("code").astype(np.int64)
 
 
 def _search(distinct: DataFrame, radius: int, slack: int, forest: bool) -> DataFrame:
     """Pairs (a, b, distance) of distinct fingerprints' rep; or only edges that join the same components."""
 
     def find(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["code"].to_numpy(), kind="stable")
-        cols = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False)[order] for c in ("home", "hi", "lo", "code", "rep")}
-        point = (cols["hi"].view(np.uint64), cols["lo"].view(np.uint64), cols["code"].astype(np.int64), cols["rep"])
-        own = cols["home"]
-        h = tuple(x[own] for x in point)
+        words, code = _points(table)
+        order = np.argsort(code, kind="stable")
+        words, code = words[:, order], code[order]
+        own, rep = (table[c].combine_chunks().to_numpy(zero_copy_only=False)[order] for c in ("home", "rep"))
+        h, hr = (words[:, own], code[own]), rep[own]
         a, b, d, held = [], [], [], 0
-        for visitor, q in ((False, h), (True, tuple(x[~own] for x in point))):
+        for visitor, q, qr in ((False, h, hr), (True, (words[:, ~own], code[~own]), rep[~own])):
             for i, j, far in _near(q, h, radius, slack):
                 if not visitor:
                     less = i < j
                     i, j, far = i[less], j[less], far[less]
-                a.append(q[3][i]), b.append(h[3][j]), d.append(far)
+                a.append(qr[i]), b.append(hr[j]), d.append(far)
                 held += len(i)
                 if forest and held > 1 << 20:
                     x, y = _forest(np.concatenate(a), np.concatenate(b))
@@ -305,7 +320,7 @@ def _search(distinct: DataFrame, radius: int, slack: int, forest: bool) -> DataF
 
 
 def _distinct(prints: DataFrame) -> DataFrame:
-    return prints.groupBy("hi", "lo", "code").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return prints.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
 def pairs(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFrame:
@@ -313,7 +328,7 @@ def pairs(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFram
     (least, other, 0) for each further document of one fingerprint.  See groups() for odd rows."""
     prints = cut(fingerprints(docs))
     distinct = cut(_distinct(prints))
-    same = prints.join(distinct.where("copies > 1"), ["hi", "lo", "code"]).where("doc_id <> rep")
+    same = prints.join(distinct.where("copies > 1"), list(KEY)).where("doc_id <> rep")
     return _search(distinct, radius, slack, False).unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance")).distinct())
 
 
@@ -360,8 +375,8 @@ def groups(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFra
     roots = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     # only fingerprints that are linked or repeated can make a group
     named = distinct.join(roots, distinct["rep"] == roots["node"], "left").where("copies > 1 OR root IS NOT NULL")
-    named = named.select("hi", "lo", "code", F.coalesce("root", "rep").alias("group_id"))
-    found = prints.join(named, ["hi", "lo", "code"]).select("doc_id", "group_id").distinct()
+    named = named.select(*KEY, F.coalesce("root", "rep").alias("group_id"))
+    found = prints.join(named, list(KEY)).select("doc_id", "group_id").distinct()
     # one doc_id twice with the same text isn't a group; ids with two texts take their least group
     found = found.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
     size = F.count(F.lit(1)).over(_by("group_id"))

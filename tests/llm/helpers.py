@@ -30,7 +30,7 @@ def odd(spark):
 
 
 #: Names that operators use inside, as columns of the input.
-CLASHES = "row key hash words start end n id at y print node root leaf tile home a b rep hi lo code copies group_id kept part offset first shard position record digest slice slot bits text_sha _gone _up windows gain score toxic predicted size weight cap epochs item dk ik".split()
+CLASHES = "row key hash words start end n id at y print node root leaf tile home a b rep f0 f3 hi lo code copies group_id kept part offset first shard position record digest slice slot bits text_sha _gone _up windows gain score toxic predicted size weight cap epochs item dk ik".split()
 
 
 def with_clashes(df):
