@@ -1,30 +1,32 @@
 """SimHash near-duplicates by vantage-point trees (operator 6).
 
-Fingerprint: 256 SimHash bits (WORDS of 64) over a text's distinct words, and a unary code of
-its length (UNARY * ln(words) ones, kept as their number).  Two fingerprints
-are a pair if they differ in at most `radius` SimHash bits and at most `slack`
-unary bits; both are Hamming distances, so the triangle inequality holds for
-each.
+Fingerprint: 256 SimHash bits (WORDS of 64) over a text's distinct words.  Two
+fingerprints are a pair if they differ in at most `radius` bits, whatever the
+texts' lengths.  A length code (UNARY * ln(words)) is kept beside the bits; a
+caller can ask for pairs within `slack` of it, and by default there is no limit.
 
 Search: a vantage-point tree is grown on a bounded sample of the fingerprints.
 A node splits at a radius round a vantage point - a fingerprint, or the empty
 unary code - whichever leaves the fewest points within reach of the boundary.
 Every fingerprint has one home shard, and as a query visits the shards beyond
 each boundary that its ball crosses (|d - cut| <= reach); the rest is pruned.
-The bound is exact, so no pair is lost, whatever the sample: the sample decides
-only how even the shards are.  At this radius SimHash distances of unrelated
-texts crowd round half the bits, where no vantage point can prune; the unary
-code, whose distances spread widely, is what makes the tree effective.
-
-Within a shard the points are sorted by their unary code and compared as
-blocks.  Large shards are cut into tiles so that no task holds more than
-TILE_POINTS home points.
+At the radius of near copies distances of unrelated texts crowd round half the
+bits, where no vantage point prunes, and the tree is often a single shard.
+
+Within a shard pigeonhole bands prune: cut into m bands, fingerprints within
+the radius differ in at most t = ceil((radius + 1) / m) - 1 bits of some band
+(for 51: 3 bits of one of 13).  A task has one band, looks up the values within
+t bits of each point's and counts all bits of what it finds; a pair is given by
+the first band that finds it.  Both bounds are exact, so no pair is lost.
+Large shards are cut into tiles, and a task compares two tiles of at most about
+TILE_POINTS points.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +41,17 @@ UNARY = 100
 WORDS = 4
 PRINT = tuple(f"f{i}" for i in range(WORDS))
 KEY = (*PRINT, "code")
+TASK = ("leaf", "tile", "block", "band")
 RADIUS = 51
-SLACK = 6
+#: No limit: a pair is defined by the radius alone.
+SLACK = 1 << 30
 #: Below this many words the fingerprint is a hash of the word sequence: only equal sequences pair.
 LEAST_WORDS = 8
 SAMPLE = 40_000
 LEAF_SHARE = 1 / 64
-TILE_POINTS = 16_384
+TILE_POINTS = 1 << 20
+BAND_BITS = 20
+BAND_REACH = 3
 REMOVED_BYTES = 64 << 20
 
 _LANES = np.array([sum(((v >> b) & 1) << (16 * b) for b in range(4)) for v in range(16)], dtype=np.uint64)
@@ -219,25 +225,99 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _near(q: Points, h: Points, radius: int, slack: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs and distances of queries and home points in reach; both sorted by code."""
-    (qw, qc), (hw, hc), at = q, h, 0
-    while at < len(qc):
-        first = np.searchsorted(hc, qc[at] - slack, "left")
-        last = np.searchsorted(hc, qc[min(len(qc), at + 64) - 1] + slack, "right")
-        upto = min(len(qc), at + max(1, min(64, block // max(1, last - first))))
-        last = np.searchsorted(hc, qc[upto - 1] + slack, "right")
-        if last > first:
-            d = hamming(qw[:, at:upto, None], hw[:, None, first:last])
-            i, j = np.nonzero(d <= radius)
-            if len(i):
-                near = np.abs(qc[at + i] - hc[first + j]) <= slack
-                yield at + i[near], first + j[near], d[i[near], j[near]]
+def _bands(radius: int) -> tuple[list[int], int]:
+    """Edges of the bands and the bits that a pair within radius differs by, at most, in one of them."""
+    bits = 64 * WORDS
+    m = min(bits, max(-(-bits // BAND_BITS), -(-(radius + 1) // (BAND_REACH + 1))))
+    return [bits * i // m for i in range(m + 1)], -(-(radius + 1) // m) - 1
+
+
+def _value(words: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Bits low to high of fingerprints whose words lie on the last axis."""
+    w, shift = divmod(low, 64)
+    v = words[..., w] >> np.uint64(shift)
+    if high > 64 * (w + 1):
+        v = v | (words[..., w + 1] << np.uint64(64 - shift))
+    return (v & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _runs(first: np.ndarray, many: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, partner) with partners first[row] : first[row] + many[row], about most of them at a time."""
+    total, at = np.cumsum(many), 0
+    while at < len(many):
+        done = total[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(total, done + most, "right")))
+        c = many[at:upto]
+        row = np.repeat(np.arange(at, upto), c)
+        yield row, np.arange(len(row)) + np.repeat(first[at:upto] - (total[at:upto] - c - done), c)
         at = upto
 
 
+def _near(q: Points, h: Points | None, radius: int, slack: int, band: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs and distances of queries and home points in reach, of which band is the first that finds them.
+
+    Without home points the pairs are those among the queries, each once.
+    """
+    edges, reach = _bands(radius)
+    low, high = edges[band : band + 2]
+    alone = h is None
+    qw, qc = np.ascontiguousarray(q[0].T), q[1]
+    hw, hc = (qw, qc) if alone else (np.ascontiguousarray(h[0].T), h[1])
+    if not len(qc) or not len(hc):
+        return
+    qv, hv = _value(qw, low, high), _value(hw, low, high)
+    qo = np.argsort(qv, kind="stable")
+    ho = qo if alone else np.argsort(hv, kind="stable")
+    qw, qc, qv, hw, hc = qw[qo], qc[qo], qv[qo], hw[ho], hc[ho]
+    count = np.bincount(hv, minlength=1 << (high - low))
+    start, there = np.cumsum(count) - count, count > 0
+
+    def tested(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        # four counts of a fingerprint in the bytes of 32 bits, added up by a product: 256 would be 0, and is seen below
+        # (fancy indexing would take rows several times slower)
+        d = (np.bitwise_count(qw.take(i, axis=0) ^ hw.take(j, axis=0)).view(np.uint32)[:, 0] * np.uint32(0x01010101)) >> np.uint32(24)
+        at = np.flatnonzero(d <= radius)
+        if not len(at):
+            return
+        i, j = i[at], j[at]
+        d = _far(qw[i], hw[j])
+        ok = (d <= radius) & (np.abs(qc[i] - hc[j]) <= slack) & (np.bitwise_count(_value(qw[i] ^ hw[j], low, high)) <= reach)
+        for b in range(band):
+            ok &= np.bitwise_count(_value(qw[i] ^ hw[j], *edges[b : b + 2])) > reach
+        if ok.any():
+            yield qo[i[ok]], ho[j[ok]], d[ok]
+
+    if len(hc) * len(qc) < 1 << 20:  # less than the lookups take
+        for row, j in _runs(np.arange(1, len(qc) + 1) if alone else np.zeros(len(qc), np.int64), len(hc) - np.arange(1, len(qc) + 1) if alone else np.full(len(qc), len(hc)), block):
+            yield from tested(row, j)
+        return
+    everyone = np.arange(len(qc))
+    for top in range(-1, high - low):
+        # masks by their highest bit; among the queries themselves it is enough to look from those without it
+        masks = [0] if top < 0 else [(1 << top) | sum(1 << x for x in c) for k in range(reach) for c in combinations(range(top), k)]
+        rows = np.flatnonzero((qv >> top) & 1 == 0) if alone and top >= 0 else everyone
+        values = qv[rows]
+        for mask in masks:
+            hit = np.flatnonzero(there.take(values ^ mask))
+            if len(hit):
+                i, to = rows.take(hit), values.take(hit) ^ mask
+                first, many = start.take(to), count.take(to)
+                if alone and top < 0:
+                    many, first = first + many - i - 1, i + 1
+                for row, j in _runs(first, many, block):
+                    yield from tested(i.take(row), j)
+
+
 def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
-    """leaf, tile, home and the point's columns: what each task of the search gets."""
+    """leaf, tile, block, band, home and the point's columns: what each task of the search gets.
+
+    A task holds the home points of a tile against the points of one block of
+    visitors (those of another tile, or of other leaves), in one band.
+    """
     spark = distinct.sparkSession
     n = distinct.count()
     take = distinct.orderBy(F.xxhash64(*KEY), "rep").limit(SAMPLE).toArrow() if n else distinct.limit(0).toArrow()
@@ -254,6 +334,8 @@ def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
     for leaf, size in counts.items():
         tiles[leaf] = -(-size // tile_points)
     tiles_b = spark.sparkContext.broadcast((tree, tiles))
+    bands = len(_bands(radius)[0]) - 1
+    tasks = bands * int((tiles**2).sum() if tree.leaves > 1 else (tiles * (tiles + 1) // 2).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, tiles = tiles_b.value
@@ -265,18 +347,32 @@ def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
             keep = leaf >= at_home[p]  # a pair across shards is found in the one with the greater number
             p, leaf, own = p[keep], leaf[keep], own[keep]
             tile = (tc.mix(words[0] ^ tc.mix(words[1])) % tiles[at_home].astype(np.uint64)).astype(np.int64)
-            first = np.where(own, tile[p], 0)  # at home: its own tile and those after it
-            many = tiles[leaf] - first
-            row = np.repeat(np.arange(len(p)), many)
-            t = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            q = p[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf[row].astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(own[row] & (t == first[row])),
-                 *(b.column(b.schema.get_field_index(c)).take(pa.array(q)) for c in (*KEY, "rep"))],
-                names=["leaf", "tile", "home", *KEY, "rep"],
-            )
-
-    return distinct.mapInArrow(run, f"leaf int, tile int, home boolean, {_DDL}, rep bigint")
+            # as a visitor: in its own leaf the tiles after its own, elsewhere all of them
+            own_tile = tile[p]
+            first = np.where(own, own_tile + 1, 0)
+            visit, t = _spread(first, tiles[leaf] - first)
+            # at home: against the tiles before, itself, and visitors from other leaves
+            lone = np.flatnonzero(own)
+            meet, k = _spread(np.zeros(len(lone), np.int64), own_tile[lone] + 1 if tree.leaves == 1 else tiles[leaf[lone]])
+            row = np.concatenate([visit, lone[meet]])
+            at_tile, block = np.concatenate([t, own_tile[lone[meet]]]), np.concatenate([np.where(own[visit], own_tile[visit], own_tile[visit] % tiles[leaf[visit]]), k])
+            home = np.arange(len(row)) >= len(visit)
+            for band in range(bands):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaf[row].astype(np.int32)), pa.array(at_tile.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), band, np.int32)), pa.array(home),
+                     *(b.column(b.schema.get_field_index(c)).take(pa.array(p[row])) for c in (*KEY, "rep"))],
+                    names=["leaf", "tile", "block", "band", "home", *KEY, "rep"],
+                )
+
+    sent = distinct.mapInArrow(run, f"leaf int, tile int, block int, band int, home boolean, {_DDL}, rep bigint")
+    # a fixed number of partitions: few rows are much work here, and would be put together by their size
+    return sent.repartition(min(2000, 4 * tasks), *TASK)
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, first + 0, 1, ... many - 1) for each index."""
+    row = np.repeat(np.arange(len(many)), many)
+    return row, first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
 
 
 def _points(t: pa.RecordBatch | pa.Table) -> Points:
@@ -292,16 +388,15 @@ def _search(distinct: DataFrame, radius: int, slack: int, forest: bool) -> DataF
 
     def find(table: pa.Table) -> pa.Table:
         words, code = _points(table)
-        order = np.argsort(code, kind="stable")
-        words, code = words[:, order], code[order]
-        own, rep = (table[c].combine_chunks().to_numpy(zero_copy_only=False)[order] for c in ("home", "rep"))
+        own, rep = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("home", "rep"))
+        tile, block, band = (table[c][0].as_py() for c in ("tile", "block", "band"))
         h, hr = (words[:, own], code[own]), rep[own]
+        v, vr = (words[:, ~own], code[~own]), rep[~own]
         a, b, d, held = [], [], [], 0
-        for visitor, q, qr in ((False, h, hr), (True, (words[:, ~own], code[~own]), rep[~own])):
-            for i, j, far in _near(q, h, radius, slack):
-                if not visitor:
-                    less = i < j
-                    i, j, far = i[less], j[less], far[less]
+        for q, qr, to in ((h, hr, None), (v, vr, h)):
+            if to is None and tile != block:  # among themselves once
+                continue
+            for i, j, far in _near(q, to, radius, slack, band):
                 a.append(qr[i]), b.append(hr[j]), d.append(far)
                 held += len(i)
                 if forest and held > 1 << 20:
@@ -316,7 +411,7 @@ def _search(distinct: DataFrame, radius: int, slack: int, forest: bool) -> DataF
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d.astype(np.int32)})
 
     schema = "a bigint, b bigint" if forest else "a bigint, b bigint, distance int"
-    return _sharded(distinct, radius, slack).groupBy("leaf", "tile").applyInArrow(find, schema)
+    return _sharded(distinct, radius, slack).groupBy(*TASK).applyInArrow(find, schema)
 
 
 def _distinct(prints: DataFrame) -> DataFrame:

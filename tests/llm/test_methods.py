@@ -110,6 +110,20 @@ def test_near_copies_pair_and_others_do_not():
     assert (d[:n, :n][np.triu_indices(n, 1)] > simhash.RADIUS).all()
 
 
+def test_near_copies_pair_whatever_their_length(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, 60))) for i in range(1200)]
+    rows += [(2000 + i, f"{rows[i][1]} {rows[i][1]}") for i in range(20)]  # the same distinct words, twice as long
+    rows += [(3000 + i, " ".join(words(rng, 12))) for i in range(40)]
+    rows += [(4000 + i, f"{rows[1220 + i][1]} {words(rng, 1)[0]}") for i in range(40)]  # a word more makes 8 %
+    p = simhash.fingerprints(table(spark, rows)).toPandas()
+    f = np.stack([p[c].to_numpy().view(np.uint64) for c in simhash.PRINT])
+    d = simhash.hamming(f[:, :, None], f[:, None, :])
+    want = {(min(a, b), max(a, b)) for i, j in zip(*np.nonzero(d <= 51)) if i != j for a, b in [(int(p.doc_id[i]), int(p.doc_id[j]))]}
+    assert {(i, 2000 + i) for i in range(20)} <= want and sum((3000 + i, 4000 + i) in want for i in range(40)) > 10
+    assert {(r["a"], r["b"]) for r in simhash.pairs(table(spark, rows)).collect()} == want
+
+
 # winnowing
 
 
