@@ -2,12 +2,17 @@
 
 Zstandard dictionaries are trained in pairs, one on toxic and one on ordinary
 text.  A text is cut into windows; each window is compressed with both, and the
-bytes that the toxic dictionary saves are its gain.  A score adds up the gains
-over the square root of the number of windows.  A pair is trained for each of
-several window sizes and the scores are added: whether the compressor finds a
-match hangs on chance (which positions share a slot of its tables), and what
-several pairs agree on does not.  The sum is held against a threshold
-calibrated on held-out ordinary documents.
+bytes that the toxic dictionary saves are its gain.  Two measures are taken:
+all gains over the square root of the number of windows, for texts toxic
+throughout, and the best sum of a few neighbouring windows, for a passage in a
+long text.  A pair is trained for each of several window sizes and their
+measures are added: whether the compressor finds a match hangs on chance (which
+positions share a slot of its tables), and what several pairs agree on does not.
+
+Both grow with a text's length by chance alone.  Each is therefore given as its
+distance from the median of held-out ordinary documents of like length, in units
+of the distance from there to their 95th percentile.  The score is the greater of
+the two, held against a threshold calibrated on all held-out ordinary documents.
 
 The two dictionaries of a pair have the same entropy tables and the same general segment
 (trained on ordinary text), followed by a segment of their own: words, ordered
@@ -24,7 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,9 @@ from . import textcore as tc
 from .common import keep_rows, labelled_sample, ready
 
 WORD = re.compile(r"\w+")
+#: Neighbouring windows that make a passage, and the least width of a measure, in bytes.
+PASSAGE = 4
+LEAST_WIDTH = 1.0
 SCHEMA = "doc_id bigint, windows bigint, gain bigint, score double, toxic boolean"
 
 
@@ -48,9 +56,20 @@ class Pair:
 
 @dataclass(frozen=True)
 class Model:
+    """by_length: the square root of the windows, and median and width of either measure, of ordinary texts by rising length."""
+
     pairs: tuple[Pair, ...]
     threshold: float
     level: int
+    by_length: tuple[tuple[float, ...], ...] = ()
+
+    def score(self, count: np.ndarray, whole: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        x = np.sqrt(count)
+        at, *usual = map(np.array, self.by_length)
+        mid, width, mid_p, width_p = (np.interp(x, at, u) for u in usual)
+        beyond = np.maximum(x / at[-1], 1)  # longer than all held-out texts: chance gains go on like the square root
+        found = np.maximum((whole - mid * beyond) / (width * beyond), (passage - mid_p) / width_p)
+        return np.where(whole > 0, np.maximum(found, 0), 0.0)
 
 
 def _contexts(texts: list[str]) -> Counter:
@@ -104,21 +123,42 @@ def windows(data: bytes, size: int) -> list[bytes]:
 
 class Scorer:
     def __init__(self, model: Model):
+        self.model = model
         self.pairs = [(p.window, _compressor(p.toxic, model.level).compress, _compressor(p.ordinary, model.level).compress) for p in model.pairs]
 
-    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, gain and score of each text, of all window sizes together."""
+    def measure(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, gain, gain by the square root of windows and best passage's gain of each text, of all window sizes together."""
         texts = tc.lowered(column).cast(pa.large_binary()).to_pylist()
-        count, gain, score = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        count, gain, whole, passage = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
         for i, text in enumerate(texts):
             for size, toxic, ordinary in self.pairs:
                 cut = windows(text, size)
-                saved = sum(d for w in cut if (d := len(ordinary(w)) - len(toxic(w))) > 0)
-                if saved:
+                gains = [max(len(ordinary(w)) - len(toxic(w)), 0) for w in cut]
+                if saved := sum(gains):
                     gain[i] += saved
-                    score[i] += saved / math.sqrt(len(cut))
+                    whole[i] += saved / math.sqrt(len(cut))
+                    total = np.concatenate([[0], np.cumsum(gains)])
+                    passage[i] += saved if len(cut) <= PASSAGE else (total[PASSAGE:] - total[:-PASSAGE]).max()
                 count[i] += len(cut)
-        return count, gain, score
+        return count, gain, whole, passage
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, gain and score of each text."""
+        count, gain, whole, passage = self.measure(column)
+        return count, gain, self.model.score(count, whole, passage)
+
+
+def _by_length(count: np.ndarray, *measures: np.ndarray, least: int = 50, most: int = 8) -> tuple[tuple[float, ...], ...]:
+    """Model.by_length from the windows and measures of ordinary texts, in classes of at least `least` of them where there are as many."""
+    classes = np.array_split(np.argsort(count, kind="stable"), max(1, min(most, len(count) // least)))
+    rows = []
+    for c in classes:
+        row = [max(1.0, float(np.sqrt(count[c]).mean()))]
+        for m in measures:
+            mid, high = np.percentile(m[c], [50, 95])
+            row += [float(mid), max(float(high - mid), LEAST_WIDTH)]
+        rows.append(row)
+    return tuple(zip(*rows))
 
 
 def fit(
@@ -128,7 +168,7 @@ def fit(
     """Train on two thirds of (text, toxic) pairs and calibrate on the last third.
 
     The threshold is the lowest score that at most max_false_rate of the
-    held-out ordinary documents reach.  None if either class has fewer than
+    held-out ordinary documents reach; the score allows for length (see Model).  None if either class has fewer than
     five documents: then nothing can be learned and no document is toxic.
     """
     sides: dict[int, list[str]] = {0: [], 1: []}
@@ -149,9 +189,11 @@ def fit(
             base = b" ".join(pieces)[-general:]
         pairs.append(Pair(size, base + segments[1], base + segments[0]))
     model = Model(tuple(pairs), 0.0, level)
-    scores = np.sort(Scorer(model)(pa.array(held or train[0], type=pa.large_string()))[2])
+    count, _, whole, passage = Scorer(model).measure(pa.array(held or train[0], type=pa.large_string()))
+    model = replace(model, by_length=_by_length(count, whole, passage))
+    scores = np.sort(model.score(count, whole, passage))
     allowed = int(len(scores) * max_false_rate)
-    return Model(model.pairs, max(float(scores[-1 - allowed]) + 1e-9, least_score), level)
+    return replace(model, threshold=max(float(scores[-1 - allowed]) + 1e-9, least_score))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 8, **options) -> Model | None:

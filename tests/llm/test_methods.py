@@ -288,6 +288,19 @@ def test_toxicity_on_held_out_texts(spark):
     assert score[0] < model.threshold <= score[1]
 
 
+def test_toxicity_scores_allow_for_length():
+    rng = random.Random(12)
+    marks = ["".join(rng.choice("qvwxzjk") for _ in range(8)) for _ in range(40)]
+    slip = lambda n: " ".join(rng.choice(marks) if rng.random() < 0.004 else w for w in words(rng, n))  # noqa: E731  ordinary texts have some of the words, too
+    clean = [(slip(rng.choice((60, 200, 600, 2500))), 0) for _ in range(600)]
+    model = toxicity.fit(clean + [(" ".join(rng.choice(marks) if rng.random() < 0.3 else w for w in words(rng, rng.randrange(40, 300))), 1) for _ in range(150)])
+    judge = lambda texts: toxicity.Scorer(model)(pa.array(texts))[2] >= model.threshold
+    longer = judge([slip(30_000) for _ in range(10)])  # longer than all that were held out
+    short = judge([" ".join(rng.choice(marks) if rng.random() < 0.3 else w for w in words(rng, 60)) for _ in range(60)])
+    passage = judge([f"{slip(1200)} {' '.join(rng.choice(marks) for _ in range(60))} {slip(1200)}" for _ in range(40)])
+    assert longer.mean() <= 0.05 and short.mean() >= 0.8 and passage.mean() >= 0.9, (longer.mean(), short.mean(), passage.mean())
+
+
 def test_windows_cover_the_text():
     rng = random.Random(2)
     for size in (5, 64, 112):
