@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import asdict
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..operators import chunking, custody, extraction, intake, merkle, reconcile, reports, validate
-from ..schemas import PUBLISHED_CHUNKS, RunConfig
+from ..schemas import CUSTODY, PUBLISHED_CHUNKS, RunConfig
 from ..session import ROOT, utc_now
 from ..sources import files, sinks
 
@@ -78,14 +79,18 @@ class Run:
         if found:
             raise StageFailed(stage, found)
 
-    def scan(self) -> None:
+    def _walk(self) -> DataFrame:
+        """Every file of the source as it is now, judged."""
         found = files.candidates(self.spark, self.source, self.config.max_file_bytes)
         if os.path.exists(self.source):  # a local folder: what the source leaves out (links, special and empty files) is listed on the driver
             odd = files.listed(self.spark, self.source).where("problem IS NOT NULL OR size_bytes = 0").withColumn("content", F.lit(None).cast("binary")).withColumn("mtime_utc", F.lit(None).cast("string"))
         else:
             odd = files.empty_files(self.spark, self.source).withColumn("problem", F.lit(None).cast("string")).withColumn("content", F.lit(None).cast("binary")).withColumn("mtime_utc", F.lit(None).cast("string"))
         found = found.withColumn("problem", F.lit(None).cast("string")).join(odd.select("relpath"), "relpath", "left_anti").unionByName(odd)
-        judged = self._save("judged", intake.judged(found, self.config))
+        return intake.judged(found, self.config)
+
+    def scan(self) -> None:
+        judged = self._save("judged", self._walk())
         self._save("records", intake.records(judged, self.utc))
         self._save("drops", intake.drops(judged, self.utc))
         sinks.write_vault(intake.vault(judged), f"{self.work}/vault")
@@ -102,12 +107,15 @@ class Run:
         self._note("chunk_completed", chunks=self.table("chunks").count())
 
     def validate(self) -> None:
-        records, judged, objects, bundles, chunks = map(self.table, ("records", "judged", "vault", "bundles", "chunks"))
+        """Accepted and dropped files against a fresh walk and hash of the source, native text against a second extraction, and the tables against each other."""
+        records, objects, bundles, chunks = map(self.table, ("records", "vault", "bundles", "chunks"))
+        walked = self._walk().select("relpath", "sha256").localCheckpoint()
+        occurrences = records.select(F.explode("occurrences.relpath").alias("relpath"), "sha256")
         accepted = records.select(F.explode("occurrences.relpath").alias("relpath"))
-        ledger = reconcile.reconcile(judged.select("relpath"), accepted, self.table("drops").select("relpath"))
+        ledger = reconcile.reconcile(walked.select("relpath"), accepted, self.table("drops").select("relpath"))
         ledger = ledger.select(F.lit("ledger").alias("check"), F.col("relpath").alias("subject"), F.col("failure").alias("detail"))
         self._require("validate", validate.union(
-            ledger, validate.vault(objects), validate.missing_objects(records, objects), validate.paths(records), validate.vocabulary(records),
+            ledger, validate.sources(occurrences, walked), validate.reparse(bundles, extraction.extract(records, objects)), validate.vault(objects), validate.missing_objects(records, objects), validate.paths(records), validate.vocabulary(records),
             validate.chunk_failures(chunks, bundles), validate.orphans(chunks, objects)))
         self._note("validate_completed", passed=True)
 
@@ -146,12 +154,25 @@ class Run:
         sinks.write_json(f"{self.output}/audit.json", found)
         sinks.write_text(f"{self.output}/report.md", reports.markdown(found))
 
+    def _custody_failures(self) -> DataFrame:
+        path = f"{self.work}/custody.jsonl"
+        events = []
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as log:  # the driver wrote it, an event a stage
+                for k, line in enumerate(x for x in log if x.strip()):
+                    e = json.loads(line)
+                    events.append((k + 1, e["sequence"], e["utc"], e["event"], hs.canonical(e["details"]), e["prev_sha256"], e["event_hash"]))
+        checked = custody.checked(self.spark.createDataFrame(events, f"line_no bigint, {CUSTODY}")).where("error IS NOT NULL")
+        return checked.select(F.lit("custody").alias("check"), F.col("line_no").cast("string").alias("subject"), F.col("error").alias("detail"))
+
     def verify(self) -> None:
-        """The published corpus against itself: object hashes, texts, sources and the seal."""
+        """The published corpus against itself: object hashes, texts, sources, unlisted objects and the seal; and the run's custody chain."""
         chunks, docs = (self.spark.read.parquet(f"{self.output}/{n}") for n in ("chunks", "documents"))
         objects = self.spark.read.schema(VAULT).parquet(f"{self.output}/evidence")  # without any object there is no file to infer it from
         seal = self.spark.createDataFrame([files.load_json(f"{self.output}/seal.json", {})], "chunks_root string, documents_root string, manifest_root string, chunks string, documents string")
+        stored = objects.select("sha256", hs.vault_path(F.col("sha256")).alias("relpath")).distinct()
         self._require("verify", validate.union(
+            self._custody_failures(), validate.manifest(self._manifest(), stored),
             validate.vault(objects), validate.text_hashes(chunks), validate.orphans(chunks, objects), validate.missing_objects(docs, objects), validate.seal(seal, chunks, docs, self._manifest())))
         for name in ("chunks", "documents"):
             self.spark.read.parquet(f"{self.output}/{name}").createOrReplaceTempView(name)

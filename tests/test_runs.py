@@ -159,3 +159,22 @@ def test_entry(spark):
     if os.path.isdir(SF):
         assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_run_notices_changed_sources_extraction_and_custody(spark, folder):
+    run = corpus.Run(spark, str(folder / "in"), str(folder / "work"), str(folder / "out"), RunConfig(chunk_target=400, chunk_overlap=50), utc="2024-01-01T00:00:00")
+    run.all()
+    memo = (folder / "in" / "memo.txt").read_bytes()
+    (folder / "in" / "memo.txt").write_bytes(memo + b"more")
+    (folder / "in" / "late.txt").write_bytes(b"came after the scan")
+    with pytest.raises(corpus.StageFailed) as e:
+        run.validate()
+    assert {(r["check"], r["subject"]) for r in e.value.failures} == {("source_hash", "memo.txt"), ("ledger", "late.txt")}
+    (folder / "in" / "memo.txt").write_bytes(memo)
+    (folder / "in" / "late.txt").unlink()
+    run.validate()
+    log = folder / "work" / "custody.jsonl"
+    log.write_text(log.read_text().replace("chunk_completed", "chunk_forgotten"))
+    with pytest.raises(corpus.StageFailed) as e:
+        run.verify()
+    assert {r["check"] for r in e.value.failures} == {"custody"}
