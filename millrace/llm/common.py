@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import prepare, shared_folder
 from . import textcore as tc
 
-__all__ = ["cut", "fresh", "labelled_sample", "keep_rows", "ready", "broadcast_if_small"]
+__all__ = ["cut", "fresh", "bounded_texts", "labelled_sample", "keep_rows", "ready", "broadcast_if_small"]
 
 
 def ready(df: DataFrame) -> SparkSession:
@@ -42,8 +42,31 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int, row_bytes: int) -> DataF
     return F.broadcast(df) if fits else df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, seed: int) -> list[tuple[str, int]]:
-    """(text, class) of at most per_class labelled documents of each class 0 and 1.
+#: Text of a training sample that the driver takes in, for each class.
+SAMPLE_BYTES = 48 << 20
+
+
+def bounded_texts(docs: DataFrame, chosen: DataFrame, max_bytes: int) -> list[tuple[str, object]]:
+    """(text, y) of the documents that chosen (id, y, at) names, in the order of (at, id).
+
+    The tables are cut down before the driver takes anything in: of several
+    texts under one id one counts (that of the least hash), and of each y
+    documents are taken in order until the next would bring their texts beyond
+    max_bytes.  chosen is bounded by its maker, and is broadcast.
+    """
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("words")).where("words IS NOT NULL AND words <> ''")
+    named = texts.join(F.broadcast(chosen), "id").withColumn("hash", F.xxhash64("words")).withColumn("size", F.octet_length("words"))
+    # first which texts, by their hashes alone; then those texts
+    one = named.groupBy("id", "y", "at").agg(F.min(F.struct("hash", "size")).alias("least"))
+    total = F.sum("least.size").over(Window.partitionBy("y").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = one.withColumn("total", total).where(F.col("total") <= max_bytes).select("id", "y", "at", F.col("least.hash").alias("hash"))
+    rows = texts.withColumn("hash", F.xxhash64("words")).join(F.broadcast(kept), ["id", "hash"]).groupBy("id", "y", "at").agg(F.min("words").alias("words"))
+    rows = rows.toArrow().sort_by([("at", "ascending"), ("id", "ascending"), ("y", "ascending")])
+    return list(zip(rows["words"].to_pylist(), rows["y"].to_pylist()))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, seed: int, max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """(text, class) of at most per_class labelled documents of each class 0 and 1, and at most max_bytes of text a class.
 
     The choice is by a seeded hash of doc_id, so it neither follows the tables'
     order nor changes with their partitioning.  Labels that are null, that
@@ -61,19 +84,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         part = one.where(F.col("y") == y).orderBy("at", "id").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     # at most 2 * per_class rows of three numbers, whatever the tables' size
-    rows = (
-        docs.select(F.col("doc_id").alias("id"), F.col("text").alias("words"))
-        .where("words IS NOT NULL AND words <> ''")
-        .join(F.broadcast(chosen), "id").select("id", "y", "at", "words").toArrow()
-    )
-    order = np.lexsort((rows["id"].to_numpy(), rows["at"].to_numpy()))
-    out, seen = [], set()
-    ids, ys, texts = rows["id"].to_pylist(), rows["y"].to_pylist(), rows["words"]
-    for i in order.tolist():
-        if ids[i] not in seen:
-            seen.add(ids[i])
-            out.append((texts[i].as_py(), ys[i]))
-    return out
+    return bounded_texts(docs, cut(chosen), max_bytes)
 
 
 def keep_rows(docs: DataFrame, decide: Callable[[pa.Array], np.ndarray], column: str = "text") -> DataFrame:

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import broadcast_if_small, cut, ready
+from .common import bounded_texts, cut, ready
 
 BITS = 16
 SCHEMA = "doc_id bigint, predicted string, confidence double"
-SAMPLE_BYTES = 32 << 20
+#: Text of the training sample for each language, and the languages that are learned.
+SAMPLE_BYTES = 16 << 20
+MAX_LANGUAGES = 200
 
 
 def counts(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,24 +186,24 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def sample(docs: DataFrame, per_language: int, seed: int) -> list[tuple[str, str]]:
-    """(text, lang) of at most per_language documents of each language, by a seeded hash of doc_id.
+def sample(docs: DataFrame, per_language: int, seed: int, max_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, str]]:
+    """(text, lang) of at most per_language documents of each language, and at most max_bytes of text a language, by a seeded hash of doc_id.
 
-    First a hash threshold thins each language to about the number wanted, so
-    that ranking never sees more than a multiple of it.
+    First a hash threshold thins each language to about twice the number wanted
+    (its ids are counted by sketches, which need no shuffle of them), so that
+    nothing after it sees more than a multiple of that many ids.  A doc_id of
+    two languages is left out.  Of more than max_languages languages those with
+    the most documents are learned.
     """
     ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang")
-    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    sizes = ids.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("size")).orderBy(F.desc("size"), "lang").limit(max_languages)
     at = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
     share = (F.lit(2.0) * per_language + 64) / F.col("size") * (1 << 30)
-    sizes = broadcast_if_small(cut(sizes), SAMPLE_BYTES, 64)  # one row per language
-    thin = ids.join(sizes, "lang").withColumn("at", at).where(F.col("at") < share)
+    thin = ids.join(F.broadcast(cut(sizes)), "lang").withColumn("at", at).where(F.col("at") < share)
+    thin = thin.groupBy("doc_id", "at").agg(F.min("lang").alias("lang"), F.max("lang").alias("top")).where("lang = top")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "doc_id"))
-    chosen = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("y"), "at").distinct()
-    chosen = broadcast_if_small(cut(chosen), SAMPLE_BYTES, 64)
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
-    rows = rows.select("at", "doc_id", "y", "text").toArrow().sort_by([("at", "ascending"), ("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
-    return list(zip(rows["text"].to_pylist(), rows["y"].to_pylist()))
+    chosen = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("y"), "at")
+    return bounded_texts(docs, cut(chosen), max_bytes)
 
 
 def train(docs: DataFrame, per_language: int = 500, seed: int = 5, bits: int = BITS, **options) -> Model | None:

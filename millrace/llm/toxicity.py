@@ -1,34 +1,34 @@
 """Toxicity by compression distance (operator 8).
 
-Zstandard dictionaries are trained in pairs, one on toxic and one on ordinary
-text.  A text is cut into windows; each window is compressed with both, and the
-bytes that the toxic dictionary saves are its gain.  Two measures are taken:
-all gains over the square root of the number of windows, for texts toxic
-throughout, and the best sum of a few neighbouring windows, for a passage in a
-long text.  A pair is trained for each of several window sizes and their
-measures are added: whether the compressor finds a match hangs on chance (which
-positions share a slot of its tables), and what several pairs agree on does not.
-
-Both grow with a text's length by chance alone.  Each is therefore given as its
-distance from the median of held-out ordinary documents of like length, in units
-of the distance from there to their 95th percentile.  The score is the greater of
-the two, held against a threshold calibrated on all held-out ordinary documents.
-
-The two dictionaries of a pair have the same entropy tables and the same general segment
-(trained on ordinary text), followed by a segment of their own: words, ordered
-by the z-score of their log-odds between the two classes.  Occurrences count
-once per distinct context (word before and after), so copied documents don't
-pass for evidence.  With the common part the difference of the two lengths
-comes from the classes' own segments alone; dictionaries trained wholly apart
-differ by chance by more than a toxic word saves.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  A
+text is cut into windows; each window is compressed with both, and the bytes that
+the toxic dictionary saves are the window's gain.  Which match the compressor
+finds hangs on chance (what positions share a slot of its tables, what a training
+run happened to take in), and with one pair of dictionaries this chance is larger
+than what a toxic word saves.  It is averaged out: PAIRS pairs are trained on the
+samples in other orders, and a window's gain is the mean over all of them.  To
+save time, windows whose mean over the first SCREEN pairs is under `doubt` have
+gain 0 and aren't compressed any further.
+
+A dictionary is a general part, trained on a part of the ordinary sample, with the
+entropy tables, and behind it (nearest to the window) what the trainer takes from
+the class's own windows.  Both dictionaries of a pair share the general part.
+
+What a window gains beyond a threshold (a quantile of held-out ordinary windows)
+is its excess.  Two measures of a text are taken: all excess over the square root
+of the number of windows, for texts toxic throughout, and the largest excess of a
+few neighbouring windows, for a passage in a long text.  Both grow with a text's
+length by chance alone; each is therefore given as its distance from the median of
+held-out ordinary documents of like length, in units of the distance from there to
+their 95th percentile.  The score is the greater of the two, held against a
+threshold calibrated on all held-out ordinary documents.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
+import random
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -40,16 +40,20 @@ from pyspark.sql import DataFrame
 from . import textcore as tc
 from .common import keep_rows, labelled_sample, ready
 
-WORD = re.compile(r"\w+")
+PAIRS = 32
+SCREEN = 6
+WINDOW = 128
 #: Neighbouring windows that make a passage, and the least width of a measure, in bytes.
 PASSAGE = 4
-LEAST_WIDTH = 1.0
-SCHEMA = "doc_id bigint, windows bigint, gain bigint, score double, toxic boolean"
+LEAST_WIDTH = 0.5
+#: Training documents of the general part, and how many threads train.
+GENERAL_DOCS = 800
+THREADS = 4
+SCHEMA = "doc_id bigint, windows bigint, gain double, score double, toxic boolean"
 
 
 @dataclass(frozen=True)
 class Pair:
-    window: int
     toxic: bytes
     ordinary: bytes
 
@@ -59,91 +63,100 @@ class Model:
     """by_length: the square root of the windows, and median and width of either measure, of ordinary texts by rising length."""
 
     pairs: tuple[Pair, ...]
-    threshold: float
+    window: int
     level: int
+    screen: int
+    doubt: float
+    usual: float = 0.0
+    threshold: float = 0.0
     by_length: tuple[tuple[float, ...], ...] = ()
 
     def score(self, count: np.ndarray, whole: np.ndarray, passage: np.ndarray) -> np.ndarray:
         x = np.sqrt(count)
-        at, *usual = map(np.array, self.by_length)
-        mid, width, mid_p, width_p = (np.interp(x, at, u) for u in usual)
+        at, *known = map(np.array, self.by_length)
+        mid, width, mid_p, width_p = (np.interp(x, at, u) for u in known)
         beyond = np.maximum(x / at[-1], 1)  # longer than all held-out texts: chance gains go on like the square root
         found = np.maximum((whole - mid * beyond) / (width * beyond), (passage - mid_p) / width_p)
         return np.where(whole > 0, np.maximum(found, 0), 0.0)
 
 
-def _contexts(texts: list[str]) -> Counter:
-    seen = set()
-    for t in texts:
-        w = ["", *WORD.findall(t.lower()), ""]
-        seen.update(zip(w, w[1:], w[2:]))
-    return Counter(b for _, b, _ in seen)
-
-
-def _segment(own: Counter, other: Counter, size: int, least_z: float, least_odds: float) -> bytes:
-    """The words that tell own from other, the strongest last (nearest to the window)."""
-    n, m, found = sum(own.values()), sum(other.values()), []
-    for w, k in own.items():
-        if k < 2 or len(w) < 3:
-            continue
-        j = other[w]
-        odds = math.log((k + 0.5) / (n - k + 1)) - math.log((j + 0.5) / (m - j + 1))
-        z = odds / math.sqrt(1 / (k + 0.5) + 1 / (j + 0.5))
-        if z >= least_z and odds >= least_odds:
-            found.append((z, w))
-    found.sort(reverse=True)
-    words, used = [], 2
-    for _, w in found:
-        used += len(w.encode()) + 1
-        if used > size:
-            break
-        words.append(w)
-    return f" {' '.join(reversed(words))} ".encode()
-
-
 def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(dictionary)
     d.precompute_compress(level=level)
     return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def windows(data: bytes, size: int) -> list[bytes]:
-    """Consecutive windows of at most size bytes, cut after a space where their second half has one."""
-    out, at, n = [], 0, len(data)
-    while at < n:
-        upto = min(at + size, n)
-        if upto < n:
-            space = data.rfind(b" ", at + size // 2, upto)
-            if space > 0:
-                upto = space + 1
-        out.append(data[at:upto])
-        at = upto
+def windows(data: bytes, size: int, first: int = 0, upto: int | None = None) -> list[int]:
+    """Ends of consecutive windows of at most size bytes of data[first:upto], cut after a space where their second half has one."""
+    ends, at, n, find = [], first, len(data) if upto is None else upto, data.rfind
+    while n - at > size:
+        space = find(b" ", at + size // 2, at + size)
+        at = space + 1 if space > 0 else at + size
+        ends.append(at)
+    if n > at:
+        ends.append(n)
+    return ends
+
+
+def _cut(texts: list[bytes], size: int) -> list[bytes]:
+    out = []
+    for t in texts:
+        ends = windows(t, size)
+        out += [t[a:b] for a, b in zip([0, *ends], ends)]
     return out
 
 
+def lengths(compressor: zstandard.ZstdCompressor, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Compressed lengths of spans of data, each on its own, in one call."""
+    spans = np.stack([start, end - start], axis=1).astype("<u8")
+    made = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(data, spans.tobytes()))
+    return np.fromiter((len(made[i]) for i in range(len(made))), np.int64, len(made))
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.pairs = [(p.window, _compressor(p.toxic, model.level).compress, _compressor(p.ordinary, model.level).compress) for p in model.pairs]
-
-    def measure(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, gain, gain by the square root of windows and best passage's gain of each text, of all window sizes together."""
-        texts = tc.lowered(column).cast(pa.large_binary()).to_pylist()
-        count, gain, whole, passage = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            for size, toxic, ordinary in self.pairs:
-                cut = windows(text, size)
-                gains = [max(len(ordinary(w)) - len(toxic(w)), 0) for w in cut]
-                if saved := sum(gains):
-                    gain[i] += saved
-                    whole[i] += saved / math.sqrt(len(cut))
-                    total = np.concatenate([[0], np.cumsum(gains)])
-                    passage[i] += saved if len(cut) <= PASSAGE else (total[PASSAGE:] - total[:-PASSAGE]).max()
-                count[i] += len(cut)
-        return count, gain, whole, passage
+        self.pairs = [(_compressor(p.toxic, model.level), _compressor(p.ordinary, model.level)) for p in model.pairs]
+
+    def gains(self, data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The mean gain of each window; 0 where the first pairs see none."""
+        out, at = np.zeros(len(start)), np.arange(len(start))
+        for k, (toxic, ordinary) in enumerate(self.pairs):
+            if k == self.model.screen:
+                keep = out >= self.model.doubt * k
+                out[~keep], at = 0.0, np.flatnonzero(keep)
+            if not len(at):
+                break
+            a, b = start[at], end[at]
+            out[at] += lengths(ordinary, data, a, b) - lengths(toxic, data, a, b)
+        return out / max(len(self.pairs), 1)
+
+    def cut(self, column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The lower-cased texts as one run of bytes, start and end of their windows, and each text's number of them."""
+        raw, offsets = tc.raw(tc.lowered(column))
+        data, at = raw.tobytes(), offsets.tolist()
+        ends = [windows(data, self.model.window, a, b) for a, b in zip(at, at[1:])]
+        start = [a for first, e in zip(at, ends) for a in (first, *e[:-1]) if e]
+        return data, np.array(start, np.int64), np.array([x for e in ends for x in e], np.int64), np.array([len(e) for e in ends], np.int64)
+
+    def measure(self, column: pa.Array, usual: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows, excess, excess by the square root of windows and best passage's excess of each text."""
+        data, start, end, count = self.cut(column)
+        excess = np.maximum(self.gains(data, start, end) - (self.model.usual if usual is None else usual), 0)
+        total = np.concatenate([[0], np.cumsum(excess)])
+        bound = np.concatenate([[0], np.cumsum(count)])
+        gain = np.add.reduceat(np.append(excess, 0.0), np.minimum(bound[:-1], len(excess))) * (count > 0) if len(count) else np.zeros(0)
+        passage = np.zeros(len(count))
+        if len(excess):
+            row = np.repeat(np.arange(len(count)), count)
+            upto = np.minimum(np.arange(len(excess)) + PASSAGE, bound[row + 1])
+            np.maximum.at(passage, row, total[upto] - total[:-1])
+        # running sums leave traces of rounding where there is no excess
+        passage[gain == 0] = 0.0
+        return count, gain, gain / np.sqrt(np.maximum(count, 1)), passage
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows, gain and score of each text."""
+        """Windows, excess and score of each text."""
         count, gain, whole, passage = self.measure(column)
         return count, gain, self.model.score(count, whole, passage)
 
@@ -161,48 +174,67 @@ def _by_length(count: np.ndarray, *measures: np.ndarray, least: int = 50, most:
     return tuple(zip(*rows))
 
 
+def _trained(size: int, pieces: list[bytes], k: int, d: int = 8) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, pieces, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: the text itself, without tables
+        return b" ".join(pieces)[-size:]
+
+
+def _pair(sides: dict[int, list[bytes]], seed: int, window: int, general: int, own: int, k: int) -> Pair:
+    """One pair of dictionaries; the seed orders the samples and so what the trainer takes from them."""
+    rng = random.Random(seed)
+    some = {y: rng.sample(t, len(t)) for y, t in sides.items()}
+    base = _trained(general, _cut(some[0][:GENERAL_DOCS], 2 * window), 48)
+    # the trainer puts tables before the content: only content of the size wanted is taken
+    segments = {y: _trained(own + 1024, _cut(t, window), k)[-own:] for y, t in some.items()}
+    return Pair(base + segments[1], base + segments[0])
+
+
 def fit(
-    sample: list[tuple[str, int]], sizes: tuple[int, ...] = (112, 144, 192, 256), level: int = 3, general: int = 32768, own: int = 8192,
-    least_z: float = 3.25, least_odds: float = 2.0, max_false_rate: float = 0.002, least_score: float = 1.0,
+    sample: list[tuple[str, int]], pairs: int = PAIRS, window: int = WINDOW, level: int = 3, general: int = 131072, own: int = 12288, k: int = 20,
+    screen: int = SCREEN, doubt: float = 0.5, usual_share: float = 0.97, max_false_rate: float = 0.003, least_score: float = 1.0, seed: int = 8,
 ) -> Model | None:
-    """Train on two thirds of (text, toxic) pairs and calibrate on the last third.
-
-    The threshold is the lowest score that at most max_false_rate of the
-    held-out ordinary documents reach; the score allows for length (see Model).  None if either class has fewer than
-    five documents: then nothing can be learned and no document is toxic.
+    """Train on four fifths of (text, toxic) pairs and calibrate on the last fifth.
+
+    A window's usual gain is what usual_share of the held-out ordinary windows
+    stay below.  The threshold is the lowest score that at most max_false_rate
+    of the held-out ordinary documents reach; the score allows for length (see
+    Model).  Where nearly all held-out toxic documents lie beyond it, it is set
+    a third of the way towards them, as few held-out documents don't show how
+    far ordinary ones reach.  None if either class has fewer than five
+    documents: then nothing can be learned and no document is toxic.
     """
     sides: dict[int, list[str]] = {0: [], 1: []}
     for text, y in sample:
         sides[y].append(text)
     if min(map(len, sides.values())) < 5:
         return None
-    train = {y: t[: max(3, len(t) * 2 // 3)] for y, t in sides.items()}
-    held = sides[0][len(train[0]) :]
-    seen = {y: _contexts(t) for y, t in train.items()}
-    segments = [_segment(seen[y], seen[1 - y], own, least_z, least_odds) for y in (0, 1)]
-    pairs = []
-    for size in sizes:
-        pieces = [p for t in train[0] for p in windows(t.lower().encode(), 2 * size)]
-        try:
-            base = zstandard.train_dictionary(general, pieces, k=64, d=8).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself, without tables
-            base = b" ".join(pieces)[-general:]
-        pairs.append(Pair(size, base + segments[1], base + segments[0]))
-    model = Model(tuple(pairs), 0.0, level)
-    count, _, whole, passage = Scorer(model).measure(pa.array(held or train[0], type=pa.large_string()))
+    train = {y: t[: max(3, len(t) * 4 // 5)] for y, t in sides.items()}
+    held, toxic = (pa.array(sides[y][len(train[y]) :], type=pa.large_string()) for y in (0, 1))
+    data = {y: [t.lower().encode() for t in texts] for y, texts in train.items()}
+    with ThreadPoolExecutor(THREADS) as pool:
+        made = tuple(pool.map(lambda e: _pair(data, 1000 * seed + e, window, general, own, k), range(pairs)))
+    model = Model(made, window, level, screen, doubt)
+    scorer = Scorer(model)
+    text, start, end, count = scorer.cut(held)
+    model = replace(model, usual=float(np.quantile(scorer.gains(text, start, end), usual_share)) if len(start) else 0.0)
+    count, _, whole, passage = scorer.measure(held, model.usual)
     model = replace(model, by_length=_by_length(count, whole, passage))
     scores = np.sort(model.score(count, whole, passage))
-    allowed = int(len(scores) * max_false_rate)
-    return replace(model, threshold=max(float(scores[-1 - allowed]) + 1e-9, least_score))
+    threshold = max(float(scores[-1 - int(len(scores) * max_false_rate)]) + 1e-9, least_score)
+    count, _, whole, passage = scorer.measure(toxic, model.usual)
+    beyond = float(np.quantile(model.score(count, whole, passage), 0.02)) - threshold
+    return replace(model, threshold=threshold + max(beyond, 0.0) / 3)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 8, **options) -> Model | None:
     """Fit on a bounded sample: at most per_class labelled documents of each class (see labelled_sample)."""
-    return fit(labelled_sample(docs, labels, "toxic", per_class, seed), **options)
+    return fit(labelled_sample(docs, labels, "toxic", per_class, seed), seed=seed, **options)
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, windows, gain in bytes, score and verdict of every row of docs, over its whole text.
+    """doc_id, windows, gain (bytes beyond the usual), score and verdict of every row of docs, over its whole text.
 
     A null or empty text has no windows, score 0 and isn't toxic; a null doc_id
     is carried; a repeated row is judged each time; other columns are ignored.
@@ -218,8 +250,8 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
                     count, gain, score = scorer(tc.column(part, "text"))
                     toxic = score >= model.threshold
                 else:
-                    count = gain = np.zeros(part.num_rows, np.int64)
-                    score, toxic = count.astype(float), count > 0
+                    count = np.zeros(part.num_rows, np.int64)
+                    gain, score, toxic = np.zeros(part.num_rows), np.zeros(part.num_rows), count > 0
                 yield pa.RecordBatch.from_arrays(
                     [pc.cast(tc.column(part, "doc_id"), pa.int64()), pa.array(count), pa.array(gain), pa.array(score), pa.array(toxic)],
                     names=["doc_id", "windows", "gain", "score", "toxic"],

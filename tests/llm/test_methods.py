@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from helpers import table, words
 
-from millrace.llm import audio, fixity, langid, mixing, nbsvm, sharding, simhash, toxicity, winnowing
+from millrace.llm import audio, common, fixity, langid, mixing, nbsvm, sharding, simhash, toxicity, winnowing
 from millrace.llm import textcore as tc
 
 
@@ -305,8 +306,52 @@ def test_windows_cover_the_text():
     rng = random.Random(2)
     for size in (5, 64, 112):
         text = " ".join(words(rng, 300)).encode() + b"x" * 500
-        assert b"".join(toxicity.windows(text, size)) == text
-        assert all(0 < len(w) <= size for w in toxicity.windows(text, size))
+        ends = toxicity.windows(text, size)
+        assert ends[-1] == len(text) and all(0 < b - a <= size for a, b in zip([0, *ends], ends))
+        assert toxicity.windows(b"before " + text, size, 7) == [7 + e for e in ends]
+    assert toxicity.windows(b"", 5) == []
+
+
+def test_toxicity_measures_equal_brute_force():
+    """Gains by one call of the compressor for each window, and both measures by loops."""
+    rng = random.Random(4)
+    marks = ["grobian", "schurke", "halunke"]
+    model = toxicity.fit([(t, 1) for t in two_kinds(rng, 60, True, marks)] + [(t, 0) for t in two_kinds(rng, 120, False, marks)], pairs=5, screen=2, general=4096, own=2048)
+    assert len({p.toxic for p in model.pairs}) > 1 and all(p.toxic != p.ordinary for p in model.pairs)
+    texts = two_kinds(rng, 10, True, marks, 0.2) + ["", None, "a", " ".join(words(rng, 900))]
+    count, gain, whole, passage = toxicity.Scorer(model).measure(pa.array(texts, type=pa.large_string()))
+
+    def size(w, dictionary):
+        d = zstandard.ZstdCompressionDict(dictionary)
+        return len(zstandard.ZstdCompressor(level=model.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(w))
+
+    found = 0
+    for i, t in enumerate(texts):
+        data, excess, at = (t or "").lower().encode(), [], 0
+        for end in toxicity.windows(data, model.window):
+            g = [size(data[at:end], p.ordinary) - size(data[at:end], p.toxic) for p in model.pairs]
+            mean = sum(g) / 5 if sum(g[:2]) >= 2 * model.doubt else 0.0
+            excess.append(max(mean - model.usual, 0.0))
+            at = end
+        best = max((sum(excess[j : j + toxicity.PASSAGE]) for j in range(len(excess))), default=0.0)
+        assert count[i] == len(excess) and np.allclose([gain[i], whole[i], passage[i]], [sum(excess), sum(excess) / max(len(excess), 1) ** 0.5, best])
+        found += sum(excess) > 0
+    assert found >= 8
+
+
+def test_samples_are_bounded(spark):
+    """One id in 50,000 rows, texts beyond the bytes allowed, contradictory labels: what reaches the driver stays small."""
+    rows = spark.range(50_000).selectExpr("id % 5 AS doc_id", "concat('text ', id % 7) AS text", "'en' AS lang")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)] + [(4, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = common.labelled_sample(rows, labels, "toxic", 10, 1)
+    assert sorted(y for _, y in got) == [0, 0, 1, 1] and {t for t, _ in got} <= {f"text {i}" for i in range(7)}
+    assert got == common.labelled_sample(rows.repartition(3), labels, "toxic", 10, 1)
+    assert len(common.labelled_sample(rows, labels, "toxic", 1, 1)) == 2
+    assert len(common.labelled_sample(rows, labels, "toxic", 10, 1, max_bytes=7)) == 2  # one text of six bytes a class
+    assert len(langid.sample(rows, 3, 1)) == 3 and len(langid.sample(rows, 10, 1)) == 5
+    two = rows.unionByName(spark.createDataFrame([(0, "texte", "fr"), (9, "texte", "fr")], "doc_id bigint, text string, lang string"))
+    assert sorted(y for _, y in langid.sample(two, 10, 1)) == ["en"] * 4 + ["fr"]
+    assert {y for _, y in langid.sample(two, 10, 1, max_languages=1)} == {"en"}
 
 
 def test_nbsvm_on_held_out_texts(spark):
