@@ -13,6 +13,11 @@ gain 0 and aren't compressed any further.
 A dictionary is a general part, trained on a part of the ordinary sample, with the
 entropy tables, and behind it (nearest to the window) what the trainer takes from
 the class's own windows.  Both dictionaries of a pair share the general part.
+Training goes in two rounds.  The first takes all windows of either half of the
+sample and judges those of the other half by them; the toxic windows that gain
+more than nearly all ordinary ones, and a random part of the ordinary windows, are
+what the second round's dictionaries are trained on.  Without this most of the
+room goes to what both classes have in common.
 
 What a window gains beyond a threshold (a quantile of held-out ordinary windows)
 is its excess.  Two measures of a text are taken: all excess over the square root
@@ -40,14 +45,15 @@ from pyspark.sql import DataFrame
 from . import textcore as tc
 from .common import keep_rows, labelled_sample, ready
 
-PAIRS = 32
+PAIRS = 24
 SCREEN = 6
 WINDOW = 128
 #: Neighbouring windows that make a passage, and the least width of a measure, in bytes.
 PASSAGE = 4
-LEAST_WIDTH = 0.5
-#: Training documents of the general part, and how many threads train.
+LEAST_WIDTH = 0.25
+#: Training documents of the general part, the least windows worth training on, and how many threads train.
 GENERAL_DOCS = 800
+LEAST_PIECES = 50
 THREADS = 4
 SCHEMA = "doc_id bigint, windows bigint, gain double, score double, toxic boolean"
 
@@ -60,24 +66,32 @@ class Pair:
 
 @dataclass(frozen=True)
 class Model:
-    """by_length: the square root of the windows, and median and width of either measure, of ordinary texts by rising length."""
+    """by_length: the square root of the windows, and median and width of either measure, of ordinary texts by rising length.
+
+    tails: what hardly any ordinary text reaches in either measure, so that both count alike.
+    """
 
     pairs: tuple[Pair, ...]
     window: int
     level: int
-    screen: int
-    doubt: float
+    screen: int = 0
+    doubt: float = 0.0
     usual: float = 0.0
     threshold: float = 0.0
     by_length: tuple[tuple[float, ...], ...] = ()
+    tails: tuple[float, float] = (1.0, 1.0)
 
-    def score(self, count: np.ndarray, whole: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    def beyond(self, count: np.ndarray, whole: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Either measure's distance from the usual one for the text's length."""
         x = np.sqrt(count)
         at, *known = map(np.array, self.by_length)
         mid, width, mid_p, width_p = (np.interp(x, at, u) for u in known)
-        beyond = np.maximum(x / at[-1], 1)  # longer than all held-out texts: chance gains go on like the square root
-        found = np.maximum((whole - mid * beyond) / (width * beyond), (passage - mid_p) / width_p)
-        return np.where(whole > 0, np.maximum(found, 0), 0.0)
+        longer = np.maximum(x / at[-1], 1)  # longer than all held-out texts: chance gains go on like the square root
+        return (whole - mid * longer) / (width * longer), (passage - mid_p) / width_p
+
+    def score(self, count: np.ndarray, whole: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        a, b = self.beyond(count, whole, passage)
+        return np.where(whole > 0, np.maximum(np.maximum(a / self.tails[0], b / self.tails[1]), 0), 0.0)
 
 
 def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -122,7 +136,7 @@ class Scorer:
         """The mean gain of each window; 0 where the first pairs see none."""
         out, at = np.zeros(len(start)), np.arange(len(start))
         for k, (toxic, ordinary) in enumerate(self.pairs):
-            if k == self.model.screen:
+            if k and k == self.model.screen:
                 keep = out >= self.model.doubt * k
                 out[~keep], at = 0.0, np.flatnonzero(keep)
             if not len(at):
@@ -131,6 +145,13 @@ class Scorer:
             out[at] += lengths(ordinary, data, a, b) - lengths(toxic, data, a, b)
         return out / max(len(self.pairs), 1)
 
+    def each(self, pieces: list[bytes], pool: ThreadPoolExecutor) -> np.ndarray:
+        """The mean gain of each piece over all pairs."""
+        end = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+        start, data = np.concatenate([[0], end[:-1]]), b"".join(pieces)
+        found = pool.map(lambda p: lengths(p[1], data, start, end) - lengths(p[0], data, start, end), self.pairs) if pieces else []
+        return sum(found, np.zeros(len(pieces))) / max(len(self.pairs), 1)
+
     def cut(self, column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
         """The lower-cased texts as one run of bytes, start and end of their windows, and each text's number of them."""
         raw, offsets = tc.raw(tc.lowered(column))
@@ -139,10 +160,10 @@ class Scorer:
         start = [a for first, e in zip(at, ends) for a in (first, *e[:-1]) if e]
         return data, np.array(start, np.int64), np.array([x for e in ends for x in e], np.int64), np.array([len(e) for e in ends], np.int64)
 
-    def measure(self, column: pa.Array, usual: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def measure(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows, excess, excess by the square root of windows and best passage's excess of each text."""
         data, start, end, count = self.cut(column)
-        excess = np.maximum(self.gains(data, start, end) - (self.model.usual if usual is None else usual), 0)
+        excess = np.maximum(self.gains(data, start, end) - self.model.usual, 0)
         total = np.concatenate([[0], np.cumsum(excess)])
         bound = np.concatenate([[0], np.cumsum(count)])
         gain = np.add.reduceat(np.append(excess, 0.0), np.minimum(bound[:-1], len(excess))) * (count > 0) if len(count) else np.zeros(0)
@@ -181,51 +202,91 @@ def _trained(size: int, pieces: list[bytes], k: int, d: int = 8) -> bytes:
         return b" ".join(pieces)[-size:]
 
 
-def _pair(sides: dict[int, list[bytes]], seed: int, window: int, general: int, own: int, k: int) -> Pair:
-    """One pair of dictionaries; the seed orders the samples and so what the trainer takes from them."""
-    rng = random.Random(seed)
-    some = {y: rng.sample(t, len(t)) for y, t in sides.items()}
-    base = _trained(general, _cut(some[0][:GENERAL_DOCS], 2 * window), 48)
+def _general(ordinary: list[bytes], rng: random.Random, window: int, size: int) -> bytes:
+    return _trained(size, _cut(rng.sample(ordinary, min(len(ordinary), GENERAL_DOCS)), 2 * window), 48)
+
+
+def _pair(pieces: dict[int, list[bytes]], base: bytes, rng: random.Random, own: int, k: int) -> Pair:
+    """One pair of dictionaries; the order of the samples decides what the trainer takes from them."""
     # the trainer puts tables before the content: only content of the size wanted is taken
-    segments = {y: _trained(own + 1024, _cut(t, window), k)[-own:] for y, t in some.items()}
+    segments = {y: _trained(own + 1024, rng.sample(p, len(p)), k)[-own:] for y, p in pieces.items()}
     return Pair(base + segments[1], base + segments[0])
 
 
+def _mined(data: dict[int, list[bytes]], pool: ThreadPoolExecutor, seed: int, pairs: int, window: int, level: int, general: int, rounds: tuple[tuple[int, int], ...], share: float) -> dict[int, list[bytes]]:
+    """Training windows of both classes; either half's are found by dictionaries trained on the other half's.
+
+    Toxic windows are those with a gain that only 1 - share of the ordinary
+    ones reach; of the ordinary ones a random part, four for each toxic window.
+    All windows of a class if there are too few.  Rounds are (size, k) of their
+    dictionaries; each is trained on what the one before it found.
+    """
+    rng = random.Random(seed)
+    mixed = {y: rng.sample(t, len(t)) for y, t in data.items()}
+    halves = [{y: t[i::2] for y, t in mixed.items()} for i in (0, 1)]
+    cut = [{y: _cut(t, window // 2) for y, t in h.items()} for h in halves]
+    pieces = [{y: _cut(t, window) for y, t in h.items()} for h in halves]
+    for number, (own, k) in enumerate(rounds):
+        found = []
+        for i in (0, 1):  # judged by the other half
+            def one(e: int) -> Pair:
+                r = random.Random(f"{seed} {number} {i} {e}")
+                return _pair(pieces[1 - i], _general(halves[1 - i][0], r, window, general), r, own, k)
+
+            judge = Scorer(Model(tuple(pool.map(one, range(pairs))), window, level))
+            gain = {y: judge.each(w, pool) for y, w in cut[i].items()}
+            limit = np.quantile(gain[0], share) if cut[i][0] else 0.0
+            toxic = [w for w, g in zip(cut[i][1], gain[1]) if g > limit]
+            few = len(toxic) < LEAST_PIECES // 2
+            found.append({1: cut[i][1] if few else toxic, 0: cut[i][0] if few else rng.sample(cut[i][0], min(len(cut[i][0]), 4 * len(toxic)))})
+        pieces = found
+    return {y: pieces[0][y] + pieces[1][y] for y in (0, 1)}
+
+
 def fit(
-    sample: list[tuple[str, int]], pairs: int = PAIRS, window: int = WINDOW, level: int = 3, general: int = 131072, own: int = 12288, k: int = 20,
-    screen: int = SCREEN, doubt: float = 0.5, usual_share: float = 0.97, max_false_rate: float = 0.003, least_score: float = 1.0, seed: int = 8,
+    sample: list[tuple[str, int]], pairs: int = PAIRS, window: int = WINDOW, level: int = 3, general: int = 65536, own: int = 3072, k: int = 14,
+    mining: tuple[tuple[int, int], ...] = ((12288, 20), (4096, 16)), mining_pairs: int = 8, share: float = 0.99, screen: int = SCREEN, doubt: float = 0.25, usual_share: float = 0.97,
+    max_false_rate: float = 0.003, seed: int = 8,
 ) -> Model | None:
-    """Train on four fifths of (text, toxic) pairs and calibrate on the last fifth.
-
-    A window's usual gain is what usual_share of the held-out ordinary windows
-    stay below.  The threshold is the lowest score that at most max_false_rate
-    of the held-out ordinary documents reach; the score allows for length (see
-    Model).  Where nearly all held-out toxic documents lie beyond it, it is set
-    a third of the way towards them, as few held-out documents don't show how
-    far ordinary ones reach.  None if either class has fewer than five
-    documents: then nothing can be learned and no document is toxic.
+    """Train on (text, toxic) pairs but the last third of the ordinary and the last tenth of the toxic ones, and calibrate on those.
+
+    mining and share: see _mined.  A window's usual gain is what usual_share of
+    the held-out ordinary windows stay below.  The
+    threshold is the lowest score that at most max_false_rate of the held-out
+    ordinary documents reach; the score allows for length (see Model).  Where
+    nearly all held-out toxic documents lie beyond it, it is set a fifth of the
+    way towards them, as few held-out documents don't show how far ordinary ones
+    reach.  None if either class has fewer than five documents: then nothing
+    can be learned and no document is toxic.
     """
     sides: dict[int, list[str]] = {0: [], 1: []}
     for text, y in sample:
         sides[y].append(text)
     if min(map(len, sides.values())) < 5:
         return None
-    train = {y: t[: max(3, len(t) * 4 // 5)] for y, t in sides.items()}
+    train = {0: sides[0][: max(3, len(sides[0]) * 2 // 3)], 1: sides[1][: max(3, len(sides[1]) * 9 // 10)]}
     held, toxic = (pa.array(sides[y][len(train[y]) :], type=pa.large_string()) for y in (0, 1))
     data = {y: [t.lower().encode() for t in texts] for y, texts in train.items()}
     with ThreadPoolExecutor(THREADS) as pool:
-        made = tuple(pool.map(lambda e: _pair(data, 1000 * seed + e, window, general, own, k), range(pairs)))
-    model = Model(made, window, level, screen, doubt)
+        pieces = _mined(data, pool, seed, mining_pairs, window, level, general, mining, share)
+
+        def one(e: int) -> Pair:
+            r = random.Random(f"{seed} {e}")
+            return _pair(pieces, _general(data[0], r, window, general), r, own, k)
+
+        model = Model(tuple(pool.map(one, range(pairs))), window, level, screen, doubt)
     scorer = Scorer(model)
-    text, start, end, count = scorer.cut(held)
-    model = replace(model, usual=float(np.quantile(scorer.gains(text, start, end), usual_share)) if len(start) else 0.0)
-    count, _, whole, passage = scorer.measure(held, model.usual)
+    text, start, end, _ = scorer.cut(held)
+    scorer.model = model = replace(model, usual=float(np.quantile(scorer.gains(text, start, end), usual_share)) if len(start) else 0.0)
+    count, _, whole, passage = scorer.measure(held)
     model = replace(model, by_length=_by_length(count, whole, passage))
+    tails = (float(np.quantile(m, 1 - max_false_rate)) for m in model.beyond(count, whole, passage))
+    model = replace(model, tails=tuple(max(t, 1.0) for t in tails))
     scores = np.sort(model.score(count, whole, passage))
-    threshold = max(float(scores[-1 - int(len(scores) * max_false_rate)]) + 1e-9, least_score)
-    count, _, whole, passage = scorer.measure(toxic, model.usual)
-    beyond = float(np.quantile(model.score(count, whole, passage), 0.02)) - threshold
-    return replace(model, threshold=threshold + max(beyond, 0.0) / 3)
+    threshold = max(float(scores[-1 - int(len(scores) * max_false_rate)]) + 1e-9, 0.5)
+    count, _, whole, passage = scorer.measure(toxic)
+    further = float(np.quantile(model.score(count, whole, passage), 0.02)) - threshold
+    return replace(model, threshold=threshold + max(further, 0.0) / 5)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, seed: int = 8, **options) -> Model | None:

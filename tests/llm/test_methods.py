@@ -316,7 +316,7 @@ def test_toxicity_measures_equal_brute_force():
     """Gains by one call of the compressor for each window, and both measures by loops."""
     rng = random.Random(4)
     marks = ["grobian", "schurke", "halunke"]
-    model = toxicity.fit([(t, 1) for t in two_kinds(rng, 60, True, marks)] + [(t, 0) for t in two_kinds(rng, 120, False, marks)], pairs=5, screen=2, general=4096, own=2048)
+    model = toxicity.fit([(t, 1) for t in two_kinds(rng, 60, True, marks)] + [(t, 0) for t in two_kinds(rng, 120, False, marks)], pairs=5, screen=2, general=4096)
     assert len({p.toxic for p in model.pairs}) > 1 and all(p.toxic != p.ordinary for p in model.pairs)
     texts = two_kinds(rng, 10, True, marks, 0.2) + ["", None, "a", " ".join(words(rng, 900))]
     count, gain, whole, passage = toxicity.Scorer(model).measure(pa.array(texts, type=pa.large_string()))
