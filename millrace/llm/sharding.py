@@ -44,8 +44,8 @@ def shard(docs: DataFrame, shard_bytes: int | None = SHARD_BYTES, shards: int |
     placed = ranged.join(F.broadcast(starts), "part")  # one row per partition
     placed = placed.withColumn("byte_start", F.col("offset") + F.sum("n_bytes").over(order) - F.col("n_bytes"))
     placed = placed.withColumn("position", F.col("first") + F.count(F.lit(1)).over(order) - 1)
-    # byte_start * number would leave 64 bits at 100 TB and many shards; a decimal doesn't
+    # byte_start * number would leave 64 bits at 100 TB and many shards; a decimal doesn't, and div is exact where a quotient would be rounded
     cell = F.lit(0).cast("bigint")
     if at:
-        cell = F.least(F.floor(F.col("byte_start").cast("decimal(38,0)") * F.lit(number) / F.lit(at)).cast("bigint"), F.lit(number - 1))
+        cell = F.least(F.expr(f"(cast(byte_start AS decimal(38,0)) * {number}BD) div {at}BD"), F.lit(number - 1))
     return placed.select("doc_id", "n_bytes", "byte_start", "position", cell.cast("bigint").alias("shard"))

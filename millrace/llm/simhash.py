@@ -15,11 +15,13 @@ bits, where no vantage point prunes, and the tree is often a single shard.
 
 Within a shard pigeonhole bands prune: cut into m bands, fingerprints within
 the radius differ in at most t = ceil((radius + 1) / m) - 1 bits of some band
-(for 51: 3 bits of one of 13).  A task has one band, looks up the values within
-t bits of each point's and counts all bits of what it finds; a pair is given by
-the first band that finds it.  Both bounds are exact, so no pair is lost.
-Large shards are cut into tiles, and a task compares two tiles of at most about
-TILE_POINTS points.
+(for 51: 3 bits of one of 13).  A task looks up the values within t bits of each
+point's in its bands and counts all bits of what it finds; a pair is given by the
+first band that finds it.  Both bounds are exact, so no pair is lost.  Large
+shards are cut into tiles, and a task compares two tiles of at most about
+TILE_POINTS points: with T tiles each fingerprint is sent to T + 1 tasks.  Only
+while tiles are too few to occupy the cluster are the bands of two tiles spread
+over several tasks.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ UNARY = 100
 WORDS = 4
 PRINT = tuple(f"f{i}" for i in range(WORDS))
 KEY = (*PRINT, "code")
-TASK = ("leaf", "tile", "block", "band")
+TASK = ("leaf", "tile", "block", "share")
 RADIUS = 51
 #: No limit: a pair is defined by the radius alone.
 SLACK = 1 << 30
@@ -49,9 +51,11 @@ SLACK = 1 << 30
 LEAST_WORDS = 8
 SAMPLE = 40_000
 LEAF_SHARE = 1 / 64
-TILE_POINTS = 1 << 20
+TILE_POINTS = 1 << 21
 BAND_BITS = 20
 BAND_REACH = 3
+#: Pairs of tiles that aren't worth spreading further, for each core.
+TASKS_A_CORE = 2
 REMOVED_BYTES = 64 << 20
 
 _LANES = np.array([sum(((v >> b) & 1) << (16 * b) for b in range(4)) for v in range(16)], dtype=np.uint64)
@@ -108,7 +112,7 @@ def fingerprint(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, the SimHash words and the length code of each row with a doc_id and at least one word, in one pass."""
+    """doc_id, a hash of the text, the SimHash words and the length code of each row with at least one word, in one pass."""
     ready(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +121,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 words, n = fingerprint(tc.column(part, "text"))
                 ids = pc.cast(tc.column(part, "doc_id"), pa.int64())
                 code = np.floor(UNARY * np.log(np.maximum(n, 1))).astype(np.int32)
-                out = pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in words), pa.array(code)], names=["doc_id", *KEY])
-                yield out.filter(pc.and_(pa.array(n > 0), pc.is_valid(ids)))
+                out = pa.RecordBatch.from_arrays([ids, tc.column(part, "text_hash"), *(pa.array(x.view(np.int64)) for x in words), pa.array(code)], names=["doc_id", "text_hash", *KEY])
+                yield out.filter(pa.array(n > 0))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, {_DDL}")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id bigint, text_hash bigint, {_DDL}")
 
 
 _DDL = ", ".join([f"{c} bigint" for c in PRINT] + ["code int"])
@@ -313,14 +317,15 @@ def _near(q: Points, h: Points | None, radius: int, slack: int, band: int, block
 
 
 def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
-    """leaf, tile, block, band, home and the point's columns: what each task of the search gets.
+    """leaf, tile, block, share, home and the point's columns: what each task of the search gets.
 
     A task holds the home points of a tile against the points of one block of
-    visitors (those of another tile, or of other leaves), in one band.
+    visitors (those of another tile, or of other leaves), in its share of the
+    bands: with `shares` of them, band b belongs to share b % shares.
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    take = distinct.orderBy(F.xxhash64(*KEY), "rep").limit(SAMPLE).toArrow() if n else distinct.limit(0).toArrow()
+    take = distinct.orderBy(F.xxhash64(*KEY), "node").limit(SAMPLE).toArrow() if n else distinct.limit(0).toArrow()
     tree = grow(*_points(take), radius, slack)
     tile_points = TILE_POINTS
 
@@ -334,8 +339,8 @@ def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
     for leaf, size in counts.items():
         tiles[leaf] = -(-size // tile_points)
     tiles_b = spark.sparkContext.broadcast((tree, tiles))
-    bands = len(_bands(radius)[0]) - 1
-    tasks = bands * int((tiles**2).sum() if tree.leaves > 1 else (tiles * (tiles + 1) // 2).sum())
+    meetings = int((tiles**2).sum() if tree.leaves > 1 else (tiles * (tiles + 1) // 2).sum())
+    shares = max(1, min(len(_bands(radius)[0]) - 1, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // meetings)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, tiles = tiles_b.value
@@ -357,16 +362,16 @@ def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
             row = np.concatenate([visit, lone[meet]])
             at_tile, block = np.concatenate([t, own_tile[lone[meet]]]), np.concatenate([np.where(own[visit], own_tile[visit], own_tile[visit] % tiles[leaf[visit]]), k])
             home = np.arange(len(row)) >= len(visit)
-            for band in range(bands):
+            for share in range(shares):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[row].astype(np.int32)), pa.array(at_tile.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), band, np.int32)), pa.array(home),
-                     *(b.column(b.schema.get_field_index(c)).take(pa.array(p[row])) for c in (*KEY, "rep"))],
-                    names=["leaf", "tile", "block", "band", "home", *KEY, "rep"],
+                    [pa.array(leaf[row].astype(np.int32)), pa.array(at_tile.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), share, np.int32)), pa.array(np.full(len(row), shares, np.int32)),
+                     pa.array(home), *(b.column(b.schema.get_field_index(c)).take(pa.array(p[row])) for c in (*KEY, "node"))],
+                    names=["leaf", "tile", "block", "share", "shares", "home", *KEY, "node"],
                 )
 
-    sent = distinct.mapInArrow(run, f"leaf int, tile int, block int, band int, home boolean, {_DDL}, rep bigint")
+    sent = distinct.mapInArrow(run, f"leaf int, tile int, block int, share int, shares int, home boolean, {_DDL}, node bigint")
     # a fixed number of partitions: few rows are much work here, and would be put together by their size
-    return sent.repartition(min(2000, 4 * tasks), *TASK)
+    return sent.repartition(min(20_000, 4 * meetings * shares), *TASK)
 
 
 def _spread(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,63 +389,83 @@ def _points(t: pa.RecordBatch | pa.Table) -> Points:
 
 
 def _search(distinct: DataFrame, radius: int, slack: int, forest: bool) -> DataFrame:
-    """Pairs (a, b, distance) of distinct fingerprints' rep; or only edges that join the same components."""
+    """Pairs (a, b, distance) of distinct fingerprints' nodes.  Or, as forest, only edges (a, b) that join the
+    same components, and with b null the number of pairs that a node is in (n; to be summed up)."""
 
     def find(table: pa.Table) -> pa.Table:
         words, code = _points(table)
-        own, rep = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("home", "rep"))
-        tile, block, band = (table[c][0].as_py() for c in ("tile", "block", "band"))
-        h, hr = (words[:, own], code[own]), rep[own]
-        v, vr = (words[:, ~own], code[~own]), rep[~own]
+        own, node = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("home", "node"))
+        tile, block, share, shares = (table[c][0].as_py() for c in ("tile", "block", "share", "shares"))
+        h, hn = (words[:, own], code[own]), np.flatnonzero(own)
+        v, vn = (words[:, ~own], code[~own]), np.flatnonzero(~own)
         a, b, d, held = [], [], [], 0
-        for q, qr, to in ((h, hr, None), (v, vr, h)):
-            if to is None and tile != block:  # among themselves once
-                continue
-            for i, j, far in _near(q, to, radius, slack, band):
-                a.append(qr[i]), b.append(hr[j]), d.append(far)
-                held += len(i)
-                if forest and held > 1 << 20:
-                    x, y = _forest(np.concatenate(a), np.concatenate(b))
-                    a, b, d, held = [x], [y], [], len(x)
+        degree = np.zeros(len(node), np.int64)
+        for band in range(share, len(_bands(radius)[0]) - 1, shares):
+            for q, qn, to in ((h, hn, None), (v, vn, h)):
+                if to is None and tile != block:  # among themselves once
+                    continue
+                for i, j, far in _near(q, to, radius, slack, band):
+                    a.append(qn[i]), b.append(hn[j])
+                    if not forest:
+                        d.append(far)
+                        continue
+                    degree += np.bincount(a[-1], minlength=len(node)) + np.bincount(b[-1], minlength=len(node))
+                    held += len(i)
+                    if held > 1 << 20:
+                        x, y = _forest(np.concatenate(a), np.concatenate(b))
+                        a, b, held = [x], [y], len(x)
         a = np.concatenate(a) if a else np.zeros(0, np.int64)
         b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        if forest:
-            a, b = _forest(a, b)
-            return pa.table({"a": b, "b": a})
-        d = np.concatenate(d) if d else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d.astype(np.int32)})
-
-    schema = "a bigint, b bigint" if forest else "a bigint, b bigint, distance int"
+        if not forest:
+            d = np.concatenate(d) if d else np.zeros(0, np.int64)
+            return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "distance": d.astype(np.int32)})
+        a, b = _forest(a, b)
+        met = np.flatnonzero(degree)
+        empty = pa.nulls(len(met), pa.int64())
+        return pa.table({
+            "a": pa.array(np.concatenate([node[a], node[met]])), "b": pa.concat_arrays([pa.array(node[b]), empty]),
+            "n": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(degree[met])]),
+        })
+
+    schema = "a bigint, b bigint, n bigint" if forest else "a bigint, b bigint, distance int"
     return _sharded(distinct, radius, slack).groupBy(*TASK).applyInArrow(find, schema)
 
 
 def _distinct(prints: DataFrame) -> DataFrame:
-    return prints.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    """The different fingerprints: least doc_id (rep), number of rows, and a number of their own (node)."""
+    found = prints.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return cut(found.withColumn("node", F.monotonically_increasing_id()))
 
 
 def pairs(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFrame:
     """All pairs (a, b, distance), a < b, of documents with different fingerprints in reach, and
     (least, other, 0) for each further document of one fingerprint.  See groups() for odd rows."""
-    prints = cut(fingerprints(docs))
-    distinct = cut(_distinct(prints))
+    prints = cut(fingerprints(docs).where("doc_id IS NOT NULL"))
+    distinct = _distinct(prints)
     same = prints.join(distinct.where("copies > 1"), list(KEY)).where("doc_id <> rep")
-    return _search(distinct, radius, slack, False).unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance")).distinct())
+    found = _search(distinct, radius, slack, False)
+    for c in ("a", "b"):
+        found = found.join(distinct.select(F.col("node").alias(c), F.col("rep").alias(f"{c}_rep")), c)
+    found = found.where("a_rep <> b_rep").select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"), "distance")
+    # of one doc_id with several texts the nearest counts
+    found = found.unionByName(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"), F.lit(0).alias("distance")))
+    return found.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b) but the roots; root is a component's least node.
 
     Alternating large-star and small-star steps; every round is cut, and the
-    rounds grow with the logarithm of the longest chain.
+    rounds grow with the logarithm of the longest chain.  Least neighbours are
+    aggregated and joined, so the edges of a hub are never in one task alone.
     """
     state, last = cut(edges.select("a", "b").where("a <> b").distinct()), None
     while True:
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.min("b").over(_by("a")), F.col("a"))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        m = F.min("b").over(_by("a"))  # here a > b always
-        small = large.withColumn("m", m)
-        small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select("b", "m")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))  # here a > b always
+        small = least.select("a", F.col("m").alias("b")).union(large.join(least, "a").where("b <> m").select("b", "m")).where("a <> b").distinct()
         state = cut(small)
         # an order-free digest of the edges: unchanged means converged
         now = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -449,37 +474,56 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def _by(c: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(c)
+def _named(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
+    """KEY, the group's node and the number of links of every fingerprint that is linked or has several rows."""
+    found = cut(_search(distinct, radius, slack, True))
+    linked = components(found.where("b IS NOT NULL"))
+    roots = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    named = distinct.join(roots, "node", "left").join(links, "node", "left").where("copies > 1 OR root IS NOT NULL")
+    return cut(named.select(*KEY, F.coalesce("root", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links")))
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFrame:
-    """doc_id, group_id and kept for every document with a near copy; a group is named by its least doc_id, the one kept.
-
-    Groups are the connected components of the pairs.  Rows without doc_id or
-    without a word (null, empty, punctuation) belong to no group; texts shorter
-    than LEAST_WORDS words group only with equal word sequences; rows of one
-    doc_id are one document; other columns are ignored.  An empty table has no
-    groups.
+    """doc_id, group_id, kept and links for every document with a near copy.
+
+    A group is a connected component of the pairs, named by its least doc_id,
+    the one kept; links is the number of different fingerprints within the
+    radius of the document's own (copies with the same one aren't counted).
+    Rows without doc_id or without a word (null, empty, punctuation) belong to
+    no group; texts shorter than LEAST_WORDS words group only with equal word
+    sequences; rows of one doc_id are one document, and one with texts in two
+    groups has a row for each; other columns are ignored.  An empty table has
+    no groups.
     """
-    prints = cut(fingerprints(docs))
-    distinct = cut(_distinct(prints))
-    linked = components(_search(distinct, radius, slack, True))
-    roots = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    # only fingerprints that are linked or repeated can make a group
-    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").where("copies > 1 OR root IS NOT NULL")
-    named = named.select(*KEY, F.coalesce("root", "rep").alias("group_id"))
-    found = prints.join(named, list(KEY)).select("doc_id", "group_id").distinct()
-    # one doc_id twice with the same text isn't a group; ids with two texts take their least group
-    found = found.groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
-    size = F.count(F.lit(1)).over(_by("group_id"))
-    return found.withColumn("n", size).where("n > 1").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"))
+    prints = cut(fingerprints(docs).where("doc_id IS NOT NULL"))
+    named = _named(_distinct(prints), radius, slack)
+    found = cut(prints.join(named, list(KEY)).groupBy("doc_id", "group").agg(F.max("links").alias("links")))
+    # one doc_id twice with the same text isn't a group
+    names = found.groupBy("group").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(names, "group").select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"), "links")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, slack: int = SLACK) -> DataFrame:
-    """docs without the rows that groups() doesn't keep, all columns unchanged."""
-    name = fresh(docs, "gone")
-    gone = cut(groups(docs, radius, slack).where("NOT kept").select(F.col("doc_id").alias(name)))
-    return docs.join(broadcast_if_small(gone, REMOVED_BYTES, 16), F.col("doc_id") == F.col(name), "left_anti")
+    """docs with one row of each group of near copies, all columns unchanged.
+
+    Here rows are judged one by one: the row with a group's least doc_id stays
+    (nulls last; of several texts under it the one with the least hash), and of
+    rows that repeat it with the same text any one.  Rows without a word stay.
+    """
+    prints = cut(fingerprints(docs))
+    named = _named(_distinct(prints), radius, slack)
+    rows = cut(prints.join(named, list(KEY)).groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    # nulls last: a struct with the null flag first
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text_hash"))
+    stays = rows.groupBy("group").agg(F.min(order).alias("least"))
+    judged = rows.join(stays, "group").withColumn("stays", order == F.col("least"))
+    key, print_, again = fresh(docs, "gone"), fresh(docs, "gone_text"), fresh(docs, "gone_row")
+    gone = cut(judged.where("n > 1 OR NOT stays").select(F.col("doc_id").alias(key), F.col("text_hash").alias(print_), F.col("stays").alias(again)))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(print_))
+    left = docs.join(broadcast_if_small(gone.drop(again), REMOVED_BYTES, 24), same, "left_anti")
+    repeated = gone.where(again).drop(again)
+    if repeated.isEmpty():
+        return left
+    one = docs.join(broadcast_if_small(repeated, REMOVED_BYTES, 24), same, "left_semi").withColumn(print_, F.xxhash64("text"))
+    return left.unionByName(one.dropDuplicates(["doc_id", print_]).drop(print_))

@@ -72,12 +72,45 @@ def test_simhash_groups_are_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     size = Counter(find(i) for i in root)
-    want = {(i, find(i), find(i) == i) for i in root if size[find(i)] > 1}
-    assert {tuple(r) for r in simhash.groups(table(spark, rows)).collect()} == want
+    prints = {r["doc_id"]: tuple(r[c] for c in simhash.KEY) for r in simhash.fingerprints(table(spark, rows)).collect()}
+    different = {p: np.array(p[: simhash.WORDS], np.int64).view(np.uint64) for p in set(prints.values())}
+    links = {p: sum(q != p and int(np.bitwise_count(f ^ g).sum()) <= simhash.RADIUS for q, g in different.items()) for p, f in different.items()}
+    want = {(i, find(i), find(i) == i, links[prints[i]]) for i in root if size[find(i)] > 1}
+    got = simhash.groups(table(spark, rows)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
     kept = {r["doc_id"] for r in simhash.deduplicate(table(spark, rows)).collect()}
     assert kept == {find(i) for i in root}
 
 
+def test_simhash_tasks_get_whole_tiles(spark, monkeypatch):
+    """With T tiles a fingerprint is sent T + 1 times, once bands needn't be spread over tasks; nothing changes in what is found."""
+    docs = table(spark, near_corpus(3, 500))
+    distinct = simhash._distinct(simhash.fingerprints(docs))
+    n = distinct.count()
+    want = sorted(map(tuple, simhash.groups(docs).collect()))
+    for points in (n, n // 4, n // 12):
+        monkeypatch.setattr(simhash, "TILE_POINTS", points)
+        monkeypatch.setattr(simhash, "TASKS_A_CORE", 0)
+        tiles = -(-n // points)
+        assert simhash._sharded(distinct, simhash.RADIUS, simhash.SLACK).count() <= n * (tiles + 1)
+        assert sorted(map(tuple, simhash.groups(docs).collect())) == want
+
+
+def test_repeated_rows_leave_one(spark):
+    rng = random.Random(17)
+    a, b, c, d = (" ".join(words(rng, 80)) for _ in range(4))
+    near = b + " " + words(rng, 1)[0]
+    rows = [(1, a), (1, a), (1, a), (7, a), (7, b), (2, near), (9, b), (None, c), (None, c), (None, d), (5, d), (None, None), (None, None), (3, ""), (3, ""), (9, "!")]
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in simhash.deduplicate(table(spark, rows)).collect())))
+    # of a: id 1 once; of b and near: id 2; of c: one without an id; of d: id 5; rows without a word all stay
+    assert kept == sorted(map(str, [(1, a), (2, near), (None, c), (5, d), (None, None), (None, None), (3, ""), (3, ""), (9, "!")]))
+    got = {tuple(r)[:3] for r in simhash.groups(table(spark, rows)).collect()}
+    assert got == {(1, 1, True), (7, 1, False), (7, 2, False), (2, 2, True), (9, 2, False)}
+    # a text under two ids whose groups are named apart keeps a copy of each
+    rows = [(7, a), (9, a), (11, a), (7, b), (2, b)]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.deduplicate(table(spark, rows)).collect()) == sorted([(7, a), (2, b)])
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(4)
     names = rng.sample(range(10_000), 300)
@@ -234,6 +267,17 @@ def test_shards_are_contiguous_and_balanced(spark, shards, size):
 # fixity
 
 
+def test_shards_are_cut_exactly(spark):
+    """A text that starts one byte before a cut belongs to the shard before it, however large the total."""
+    rows = [(1, "x" * 9_999_999), (2, "y"), (3, "z" * 10_000_000)]
+    got = {r["doc_id"]: (r["byte_start"], r["shard"]) for r in sharding.shard(table(spark, rows), shards=2).collect()}
+    assert got == {1: (0, 0), 2: (9_999_999, 0), 3: (10_000_000, 1)}
+    some = [(i, "x" * (1 + i * 7919 % 997)) for i in range(2000)]
+    total = sum(len(t) for _, t in some)
+    for n in (3, 1999, total, 10**15):
+        assert all(r["shard"] == r["byte_start"] * n // total for r in sharding.shard(table(spark, some), shards=n).collect())
+
+
 def test_audit_finds_all_damage_and_nothing_else(spark):
     rng = random.Random(11)
     rows = [(i, f"http://x/{i}", " ".join(words(rng, rng.randrange(20)))) for i in [*range(0, 9000, 3), -40, -41]]

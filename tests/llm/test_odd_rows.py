@@ -87,10 +87,11 @@ def test_judgements_cover_every_row(spark):
 
 def test_simhash_of_odd_rows(spark):
     got = {tuple(r) for r in simhash.groups(odd(spark)).collect()}
-    assert got == {(1, 1, True), (2, 1, False)}
-    # an id of one group alone, null ids and texts without words stay
+    assert got == {(1, 1, True, 0), (2, 1, False, 0)}
+    # the repeated row, id 2 and the row without an id have the text of id 1; an id's other text and texts without words stay
     left = simhash.deduplicate(odd(spark))
-    assert left.where("doc_id = 2").count() == 0 and left.count() == odd(spark).count() - 1
+    assert left.where("doc_id = 2").count() == 0 and left.where("doc_id = 1").count() == 2 and left.where("doc_id IS NULL").count() == 1
+    assert left.count() == odd(spark).count() - 3
 
 
 def test_no_model_without_labels(spark):
