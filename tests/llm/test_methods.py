@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -193,7 +194,7 @@ def test_winnowing_finds_every_span(spark, limit):
     want = Counter()
     for key, w in [*enumerate(docs), (None, items[-1]), (7, docs[7])]:
         for j, it in enumerate(items):
-            for a, b, n in spans(w, it, 6):
+            for a, b, n in spans(w, it, min(6, max(3, len(it)))):
                 want[(key, j, a, b, n, len(it))] += 1
     got = Counter(tuple(r) for r in winnowing.contamination(d, bm, k=3, w=4, broadcast_bytes=limit).collect())
     assert got == want
@@ -202,6 +203,30 @@ def test_winnowing_finds_every_span(spark, limit):
     assert kept == sorted(str(i) for i in [*range(40), None, 7] if i not in bad)
 
 
+def test_winnowing_of_repetitive_text():
+    """Texts of a few lines repeated: the same spans as by brute force."""
+    rng = random.Random(31)
+    for trial in range(12):
+        period = rng.choice((1, 2, 3, 7, 9, 25))
+        line = words(rng, period)
+        doc, item = line * (90 // period), line * (60 // period)
+        if trial % 3:
+            doc.insert(rng.randrange(len(doc)), "odd"), item.insert(rng.randrange(len(item)), "odd")
+        index = winnowing.Index(pa.array([" ".join(item)], type=pa.large_string()), 8, 6)
+        got = winnowing.matches(pa.array([" ".join(doc)], type=pa.large_string()), index, 8, 6)
+        assert set(zip(*(x.tolist() for x in got[2:]))) == spans(doc, item, 13)
+
+
+def test_winnowing_of_one_word_repeated():
+    """100,000 equal words against an item of 10,000: one span on each of their 109,975 diagonals long enough."""
+    began = time.perf_counter()
+    index = winnowing.Index(pa.array(["w " * 10_000], type=pa.large_string()), 8, 6)
+    r, s, a, b, n = winnowing.matches(pa.array(["w " * 100_000], type=pa.large_string()), index, 8, 6)
+    assert time.perf_counter() - began < 10
+    want = {(max(0, d), max(0, -d)): min(100_000 - max(0, d), 10_000 - max(0, -d)) for d in range(-9987, 99_988)}
+    assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == want
+
+
 # mixing
 
 
