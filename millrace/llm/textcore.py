@@ -2,7 +2,9 @@
 
 A *word* is a maximal run of ASCII letters and digits or other non-ASCII
 characters after lower-casing; Unicode punctuation and spaces in U+0080-00BF,
-U+2000-207F and U+3000-303F separate words as ASCII punctuation does.  Words
+U+2000-207F, U+3000-303F and the full-width forms separate words as ASCII
+punctuation does.  Scripts written without spaces have a word for each character:
+kana and Han ideographs (U+3040-9FFF, U+F900-FAFF, U+20000-33FFF).  Words
 are represented by 64-bit hashes, so every later step is numpy arithmetic on
 whole Arrow batches instead of per-row Python.
 """
@@ -17,8 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: The definition of a separator as a regular expression (after lower-casing).
-SEPARATOR = r"[^a-z0-9\x{00C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
+#: The characters that are words of their own, and those that make words in runs, as classes of a regular expression (after lower-casing).
+SINGLE = r"\x{3040}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{33FFF}"
+JOINED = (
+    r"a-z0-9\x{00C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{A000}-\x{F8FF}\x{FB00}-\x{FEFF}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}"
+    r"\x{FF66}-\x{1FFFF}\x{34000}-\x{10FFFF}"
+)
+WORD = f"[{SINGLE}]|[{JOINED}]+"
 
 #: Bytes of text handled by one vectorised step; bounds the Python workers' memory.
 STEP_BYTES = 2 << 20
@@ -29,6 +36,9 @@ _WORD[ord("A") : ord("Z") + 1] = True
 _WORD[ord("0") : ord("9") + 1] = True
 _WORD[128:] = True
 
+#: Which of U+FF00 to U+FF7F belong to words.
+_WIDE = np.array([0x10 <= c <= 0x19 or 0x21 <= c <= 0x3A or 0x41 <= c <= 0x5A or c >= 0x66 for c in range(128)])
+
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)
@@ -90,6 +100,15 @@ def words(column: pa.Array) -> Words:
             at = at[np.isin(data[at + 1], second)]
         for k in range(2 if second is None else 3):
             inside[at + k] = False
+    single = np.zeros(0, np.int64)
+    if data.max() >= 0xE3:
+        two = np.append(data[1:], 0).astype(np.uint16) | (data.astype(np.uint16) << 8)  # a lead byte and the next
+        wide = np.flatnonzero((two == 0xEFBC) | (two == 0xEFBD))
+        point = (two[wide] & 1).astype(np.int64) * 64 + data[np.minimum(wide + 2, n - 1)] - 0x80  # from U+FF00
+        mark = wide[~_WIDE[np.clip(point, 0, 127)]]
+        for k in range(3):
+            inside[mark + k] = False
+        single = np.flatnonzero(((two >= 0xE381) & (two < 0xEA00)) | ((two >= 0xEFA4) & (two < 0xEFAC)) | ((two >= 0xF0A0) & (two < 0xF0B4)))
     begins, ends = inside.copy(), np.zeros(n, dtype=bool)
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < n]
@@ -98,6 +117,11 @@ def words(column: pa.Array) -> Words:
     ends[-1] = inside[-1]
     cuts = offsets[1:][offsets[1:] > 0] - 1
     ends[cuts] |= inside[cuts]
+    if len(single):
+        after = single + np.where(data[single] >= 0xF0, 4, 3)
+        begins[single] = ends[after - 1] = True
+        ends[single[single > 0] - 1] |= inside[single[single > 0] - 1]
+        begins[after[after < n]] |= inside[after[after < n]]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     counts = np.diff(np.searchsorted(start, offsets))
     return Words(hash_spans(data, start, end), np.repeat(np.arange(rows), counts), start, end, rows)

@@ -571,10 +571,20 @@ def test_sonify(spark):
 def test_words_and_winnowing_against_plain_python():
     texts = ["Ab,c  d", "", None, "ÉTÉ — été…ñ　漢字。x_y", "a" * 70 + " " + "a" * 71, "the end"]
     w = tc.words(pa.array(texts, type=pa.large_string()))
-    split = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), tc.SEPARATOR))
-    plain = [[x for x in split.split((t or "").lower()) if x] for t in texts]
+    word = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), tc.WORD))
+    plain = [word.findall((t or "").lower()) for t in texts]
     assert np.diff(w.bounds()).tolist() == [len(p) for p in plain]
     assert len({int(h) for h in w.hash}) == len({x for p in plain for x in p})
+    # scripts without spaces: a word for each character, full-width punctuation between
+    rng = random.Random(13)
+    pool = "ab 1.,é漢字かなカ、。！？（）：；Ａｂ０豈𠀀𳿿한글ก_\u3000\u2019\uff65\uff66\uffef\U00034000ＡÉ"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(400)] + ["漢", "漢字", "a漢", "漢a"]
+    w = tc.words(pa.array(texts, type=pa.large_string()))
+    plain = [word.findall(t.lower()) for t in texts]
+    data = "".join(t.lower() for t in texts).encode()
+    assert [data[a:b].decode() for a, b in zip(w.start, w.end)] == [x for p in plain for x in p]
+    assert np.diff(w.bounds()).tolist() == [len(p) for p in plain]
+    assert len(tc.words(pa.array(["漢" * 114])).hash) == 114
     rng = np.random.default_rng(0)
     g = rng.integers(0, 40, 300).astype(np.uint64)
     row = np.sort(rng.integers(0, 4, 300))
