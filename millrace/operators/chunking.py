@@ -17,12 +17,9 @@ def spans(df: DataFrame, text: str = "text", target: int = 2000, overlap: int =
 
 def pieces(df: DataFrame, text: str = "text", target: int = 2000, overlap: int = 200) -> DataFrame:
     """spans() with the piece, its UTF-8 byte range and its hash, without blank pieces; the text itself is dropped."""
-    t = spans(df, text, target, overlap)
-    piece = F.substring(F.col(text), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    first = F.octet_length(F.substring(F.col(text), F.lit(1), F.col("char_start")))
-    t = t.withColumn("piece", piece).where(~tx.is_blank(F.col("piece")))
-    t = t.withColumn("utf8_byte_start", first).withColumn("utf8_byte_end", F.col("utf8_byte_start") + F.octet_length("piece"))
-    return t.drop(text).withColumn("text_sha256", F.sha2("piece", 256))
+    t = df.select("*", F.inline(tx.window_pieces(F.col(text), target, overlap)).alias("char_start", "char_end", "utf8_byte_start", "piece")).drop(text)
+    t = t.where(~tx.is_blank(F.col("piece")))
+    return t.withColumn("utf8_byte_end", F.col("utf8_byte_start") + F.octet_length("piece")).withColumn("text_sha256", F.sha2("piece", 256))
 
 
 def chunks(bundles: DataFrame, records: DataFrame, run_id: str, target: int = 2000, overlap: int = 200, code_tree_sha256: str = "") -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
-from ..session import utc_now
+from ..session import read_bytes, utc_now, write_bytes
 
 GENESIS = "0" * 64
 
@@ -21,12 +20,13 @@ def event(sequence: int, kind: str, details: dict, prev: str, utc: str) -> dict:
 
 def append(path: str, kind: str, details: dict, utc: str | None = None) -> dict:
     """Adds one event to a log file; by its nature one after the other."""
-    log = Path(path)
-    lines = [x for x in log.read_bytes().split(b"\n") if x.strip()] if log.exists() else []
+    spark = SparkSession.getActiveSession()
+    held = read_bytes(spark, path) or b""
+    lines = [x for x in held.split(b"\n") if x.strip()]
     last = json.loads(lines[-1]) if lines else {"sequence": -1, "event_hash": GENESIS}
     made = event(last["sequence"] + 1, kind, details, last["event_hash"], utc or utc_now())
-    with log.open("ab") as out:
-        out.write(f"{hs.canonical(made)}\n".encode())
+    # a log has a few lines a run, and not every file system can append
+    write_bytes(spark, path, held + f"{hs.canonical(made)}\n".encode())
     return made
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..functions import text as tx
+from ..schemas import OCR_MEDIA
 
 
 def chunks_per_source(records: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -24,6 +25,13 @@ def index(records: DataFrame, chunks: DataFrame, ocr_status: DataFrame) -> DataF
         hs.vault_path(F.col("sha256")).alias("vault_relpath"), F.coalesce("_s", F.lit("n/a")).alias("ocr_status"), "chunk_count")
 
 
+def ocr_status(bundles: DataFrame) -> DataFrame:
+    """sha256 and status of each extracted source: n/a unless it is an image kind, then what came of its recognition."""
+    failed = F.exists("parse_warnings", lambda w: w.startswith("ocr_"))
+    done = F.when(F.col("ocr_raw_sha256").isNotNull(), "succeeded").when(failed, F.element_at(F.filter("parse_warnings", lambda w: w.startswith("ocr_")), 1)).otherwise("n/a")
+    return bundles.select(F.col("source_sha256").alias("sha256"), F.when(F.col("media_type").isin(*OCR_MEDIA), done).otherwise("n/a").alias("status"))
+
+
 def census(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as hs
 from ..functions import text as tx
-from ..schemas import MEDIA_TYPES, is_sha256
+from ..schemas import MEDIA_TYPES, is_sha256, schema_violations
 from . import merkle
 from .reconcile import compare, same_multiset
 
@@ -100,6 +100,25 @@ def id_parity(a: DataFrame, b: DataFrame, key: str = "chunk_id") -> DataFrame:
     return _fail(same_multiset(a, b, key), "id_parity", key, F.concat_ws(" / ", "left_count", "right_count"))
 
 
+def missing_bundles(records: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Records that were never extracted: without this they would silently give no chunks."""
+    t = records.join(bundles.select(F.col("source_sha256").alias("sha256")), "sha256", "left_anti")
+    return _fail(t, "bundle_missing", "sha256", F.col("media_type"))
+
+
+def published_ids(chunks: DataFrame) -> DataFrame:
+    """Published chunks whose id doesn't follow from what is published of them."""
+    made = hs.chunk_id(
+        F.col("source_sha256"), F.col("extraction_sha256"), F.col("chunk_config_sha256"), F.col("channel"), F.col("page_number"), F.col("char_start"), F.col("char_end"), F.col("text_sha256"))
+    return _fail(chunks.where(~made.eqNullSafe(F.col("chunk_id"))), "chunk_id", "chunk_id", made)
+
+
+def closed(lines: DataFrame, ddl: str) -> DataFrame:
+    """JSON lines outside a schema: unknown names, ill-typed values, no object."""
+    t = schema_violations(lines, ddl).where("NOT valid").withColumn("line", F.sha2("value", 256))
+    return _fail(t, "schema", "line", F.concat_ws(", ", "unknown"))
+
+
 def text_hashes(chunks: DataFrame) -> DataFrame:
     return _fail(chunks.where(F.sha2("text", 256) != F.col("text_sha256")), "text_hash", "chunk_id", F.col("text_sha256"))
 

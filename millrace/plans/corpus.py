@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as hs
 from ..operators import chunking, custody, extraction, intake, merkle, reconcile, reports, validate
 from ..schemas import CUSTODY, PUBLISHED_CHUNKS, RunConfig
-from ..session import ROOT, utc_now
+from ..session import ROOT, exists, local_path, read_bytes, utc_now
 from ..sources import files, sinks
 
 
@@ -47,7 +47,7 @@ def gate(path: str, name: str, config: RunConfig, passed: bool) -> None:
 
 def gate_is_fresh(path: str, name: str, config: RunConfig) -> bool:
     """Whether a gate passed with this code and this configuration."""
-    held = files.load_json(os.path.join(path, f"{name}.json"), {})
+    held = files.load_json(os.path.join(path, f"{name}.json"), {}, SparkSession.getActiveSession())
     return bool(held.get("passed")) and held.get("code_tree_sha256") == code_tree_sha256() and held.get("config_sha256") == hs.sha256_json(asdict(config))
 
 
@@ -58,8 +58,6 @@ class Run:
         self.spark, self.source, self.work, self.output, self.config = spark, source, work, output, config
         self.utc = utc or utc_now()
         self.run_id = hs.sha256_json({"source": source, "utc": self.utc})[:16]
-        os.makedirs(work, exist_ok=True)
-        os.makedirs(output, exist_ok=True)
 
     def _save(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.work}/{name}"
@@ -82,7 +80,7 @@ class Run:
     def _walk(self) -> DataFrame:
         """Every file of the source as it is now, judged."""
         found = files.candidates(self.spark, self.source, self.config.max_file_bytes)
-        if os.path.exists(self.source):  # a local folder: what the source leaves out (links, special and empty files) is listed on the driver
+        if local_path(self.source):  # a local folder: what the source leaves out (links, special and empty files) is listed on the driver
             odd = files.listed(self.spark, self.source).where("problem IS NOT NULL OR size_bytes = 0").withColumn("content", F.lit(None).cast("binary")).withColumn("mtime_utc", F.lit(None).cast("string"))
         else:
             odd = files.empty_files(self.spark, self.source).withColumn("problem", F.lit(None).cast("string")).withColumn("content", F.lit(None).cast("binary")).withColumn("mtime_utc", F.lit(None).cast("string"))
@@ -102,6 +100,8 @@ class Run:
         self._note("extract_completed", bundles=self.table("bundles").count())
 
     def chunk(self) -> None:
+        """Stops before anything is written if a record has no bundle."""
+        self._require("chunk", validate.missing_bundles(self.table("records"), self.table("bundles")))
         made = chunking.chunks(self.table("bundles"), self.table("records"), self.run_id, self.config.chunk_target, self.config.chunk_overlap, code_tree_sha256())
         self._save("chunks", made)
         self._note("chunk_completed", chunks=self.table("chunks").count())
@@ -109,19 +109,19 @@ class Run:
     def validate(self) -> None:
         """Accepted and dropped files against a fresh walk and hash of the source, native text against a second extraction, and the tables against each other."""
         records, objects, bundles, chunks = map(self.table, ("records", "vault", "bundles", "chunks"))
-        walked = self._walk().select("relpath", "sha256").localCheckpoint()
+        walked = self._save("walked", self._walk().select("relpath", "sha256"))
         occurrences = records.select(F.explode("occurrences.relpath").alias("relpath"), "sha256")
         accepted = records.select(F.explode("occurrences.relpath").alias("relpath"))
         ledger = reconcile.reconcile(walked.select("relpath"), accepted, self.table("drops").select("relpath"))
         ledger = ledger.select(F.lit("ledger").alias("check"), F.col("relpath").alias("subject"), F.col("failure").alias("detail"))
         self._require("validate", validate.union(
-            ledger, validate.sources(occurrences, walked), validate.reparse(bundles, extraction.extract(records, objects)), validate.vault(objects), validate.missing_objects(records, objects), validate.paths(records), validate.vocabulary(records),
-            validate.chunk_failures(chunks, bundles), validate.orphans(chunks, objects)))
+            ledger, validate.sources(occurrences, walked), validate.reparse(bundles, extraction.extract(records, objects)), validate.vault(objects), validate.missing_objects(records, objects), validate.missing_bundles(records, bundles), validate.paths(records),
+            validate.vocabulary(records), validate.chunk_failures(chunks, bundles), validate.orphans(chunks, objects)))
         self._note("validate_completed", passed=True)
 
     def _published(self, name: str, like: DataFrame) -> DataFrame:
         path = f"{self.output}/{name}"
-        return self.spark.read.schema(like.schema).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], like.schema)
+        return self.spark.read.schema(like.schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], like.schema)
 
     def merge(self) -> int:
         """Appends what isn't published yet; returns the number of new chunks.  A published object with other content stops the merge before anything is written."""
@@ -137,6 +137,7 @@ class Run:
         new = self._save("new_chunks", reconcile.only_new(chunks, old_chunks, "chunk_id"))
         self._save("new_documents", reconcile.only_new(documents, old_docs, "sha256")).write.mode("append").parquet(f"{self.output}/documents")
         new.write.mode("append").parquet(f"{self.output}/chunks")
+        sinks.canonical_lines(new).write.mode("append").option("lineSep", "\n").text(f"{self.output}/chunks_jsonl")
         count = new.count()
         self._note("merge_completed", chunks_appended=count)
         self._seal()
@@ -150,29 +151,33 @@ class Run:
     def _seal(self) -> None:
         chunks, docs = (self.spark.read.parquet(f"{self.output}/{n}") for n in ("chunks", "documents"))
         sinks.write_json(f"{self.output}/seal.json", merkle.corpus_roots(chunks, docs, self._manifest()).first().asDict())
-        found = reports.audit(self.table("records"), self.table("drops"), self.table("chunks"))
+        sinks.write_manifest(self._manifest(), f"{self.output}/manifest")
+        sinks.write_index(reports.index(self.table("records"), chunks, reports.ocr_status(self.table("bundles"))), f"{self.output}/index")
+        found = reports.audit(self.table("records"), self.table("drops"), chunks)
         sinks.write_json(f"{self.output}/audit.json", found)
         sinks.write_text(f"{self.output}/report.md", reports.markdown(found))
 
     def _custody_failures(self) -> DataFrame:
         path = f"{self.work}/custody.jsonl"
         events = []
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as log:  # the driver wrote it, an event a stage
-                for k, line in enumerate(x for x in log if x.strip()):
-                    e = json.loads(line)
-                    events.append((k + 1, e["sequence"], e["utc"], e["event"], hs.canonical(e["details"]), e["prev_sha256"], e["event_hash"]))
+        log = (read_bytes(self.spark, path) or b"").decode()  # the driver wrote it, an event a stage
+        for k, line in enumerate(x for x in log.split("\n") if x.strip()):
+            e = json.loads(line)
+            events.append((k + 1, e["sequence"], e["utc"], e["event"], hs.canonical(e["details"]), e["prev_sha256"], e["event_hash"]))
         checked = custody.checked(self.spark.createDataFrame(events, f"line_no bigint, {CUSTODY}")).where("error IS NOT NULL")
         return checked.select(F.lit("custody").alias("check"), F.col("line_no").cast("string").alias("subject"), F.col("error").alias("detail"))
 
     def verify(self) -> None:
-        """The published corpus against itself: object hashes, texts, sources, unlisted objects and the seal; and the run's custody chain."""
+        """The published corpus against itself: object hashes, texts, chunk ids, sources, manifest and unlisted objects, lines and table of the chunks, and the seal; and the run's custody chain."""
         chunks, docs = (self.spark.read.parquet(f"{self.output}/{n}") for n in ("chunks", "documents"))
         objects = self.spark.read.schema(VAULT).parquet(f"{self.output}/evidence")  # without any object there is no file to infer it from
-        seal = self.spark.createDataFrame([files.load_json(f"{self.output}/seal.json", {})], "chunks_root string, documents_root string, manifest_root string, chunks string, documents string")
+        seal = self.spark.createDataFrame([files.load_json(f"{self.output}/seal.json", {}, self.spark)], "chunks_root string, documents_root string, manifest_root string, chunks string, documents string")
+        lines = self.spark.read.text(f"{self.output}/chunks_jsonl").where("value <> ''")
+        ids = lines.select(F.get_json_object("value", "$.chunk_id").alias("chunk_id"))
         stored = objects.select("sha256", hs.vault_path(F.col("sha256")).alias("relpath")).distinct()
         self._require("verify", validate.union(
-            self._custody_failures(), validate.manifest(self._manifest(), stored),
+            self._custody_failures(), validate.manifest(files.manifest(self.spark, f"{self.output}/manifest"), stored),
+            validate.published_ids(chunks), validate.closed(lines, chunks.schema.simpleString()[7:-1]), validate.id_parity(chunks, ids),
             validate.vault(objects), validate.text_hashes(chunks), validate.orphans(chunks, objects), validate.missing_objects(docs, objects), validate.seal(seal, chunks, docs, self._manifest())))
         for name in ("chunks", "documents"):
             self.spark.read.parquet(f"{self.output}/{name}").createOrReplaceTempView(name)

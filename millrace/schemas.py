@@ -50,7 +50,7 @@ CHUNKS = (
     f"code_tree_sha256 string, run_id string, embedding {EMBEDDING}, schema_version string"
 )
 #: What the published chunk table keeps of CHUNKS.
-PUBLISHED_CHUNKS = tuple("chunk_id source_sha256 source_relpaths media_type channel page_number char_start char_end text text_sha256 extraction_sha256 run_id".split())
+PUBLISHED_CHUNKS = tuple("chunk_id source_sha256 source_relpaths media_type channel page_number char_start char_end text text_sha256 extraction_sha256 chunk_config_sha256 run_id".split())
 PUBLISHED_DOCUMENTS = tuple("sha256 media_type channel size_bytes pages parse_warnings tables subject ocr_raw_sha256".split())
 CUSTODY = "sequence bigint, utc string, event string, details string, prev_sha256 string, event_hash string"
 MANIFEST = "sha256 string, relpath string"

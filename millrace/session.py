@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,12 +47,14 @@ def prepare(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is
-    made and removed at exit.
+    Only on one machine (a local master, as in tests) may the setting be absent:
+    then a temporary folder is made and removed at exit.
     """
     context = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not given:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         given = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, given, True)
     if not context.getCheckpointDir():
@@ -59,8 +62,8 @@ def shared_folder(spark: SparkSession) -> str:
     return given
 
 
-#: A table of fewer bytes for each core than this may have too few row groups for all cores.
-SPREAD_BYTES = 8 << 20
+#: A file of fewer bytes than this may have too few row groups for all cores; on clusters of any size the same.
+SPREAD_BYTES = 64 << 20
 
 
 def utc_now() -> str:
@@ -69,16 +72,70 @@ def utc_now() -> str:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; one too small to have a row group for each core is spread by rows.
+    """A Parquet table; a small one in few files is spread by rows.
 
-    Larger tables are read as they lie, without a shuffle.
+    All others are read as they lie, without a shuffle.
     """
     df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 1 << 20 < size < cores * SPREAD_BYTES else df
+    fs, p = file_system(spark, path)
+    size = fs.getContentSummary(p)
+    return df.repartition(cores) if 1 << 20 < size.getLength() < SPREAD_BYTES and size.getFileCount() < cores else df
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system that a path or URI lies on, and the path qualified by it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file sources name it: with scheme and authority."""
+    return file_system(spark, path)[1].toString()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return bool(fs.exists(p))
+
+
+def local_path(path: str) -> str | None:
+    """The path itself, or that of a file: URI; None for other file systems."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file whole, from any file system; None if there is none."""
+    if own := local_path(path):
+        return Path(own).read_bytes() if os.path.exists(own) else None
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, value: bytes) -> None:
+    """A small file whole, to any file system."""
+    if own := local_path(path):
+        Path(own).parent.mkdir(parents=True, exist_ok=True)
+        Path(own).write_bytes(value)
+        return
+    fs, p = file_system(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(value))
+    finally:
+        stream.close()
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder from whatever file system it lies on."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import schema_violations, struct
+from ..session import local_path, qualified, read_bytes
 
 
 def candidates(spark: SparkSession, root: str, max_file_bytes: int | None = None) -> DataFrame:
@@ -22,8 +23,8 @@ def candidates(spark: SparkSession, root: str, max_file_bytes: int | None = None
     base = spark.read.format("binaryFile").option("recursiveFileLookup", True)
 
     def table(df: DataFrame, content) -> DataFrame:
-        path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-        prefix = os.path.abspath(root).rstrip("/") + "/"
+        path = F.col("path")
+        prefix = qualified(spark, root).rstrip("/") + "/"
         # one file given by name keeps its own name
         relative = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(F.substring_index(path, "/", -1))
         utc = F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
@@ -43,7 +44,7 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     Links aren't followed.  This runs on the driver; use candidates() elsewhere.
     """
     rows = []
-    top = os.path.abspath(root)
+    top = os.path.abspath(local_path(root))
     single = os.path.isfile(top)
     for folder, subfolders, names in [(os.path.dirname(top), [], [os.path.basename(top)])] if single else os.walk(top, followlinks=False):
         subfolders.sort()
@@ -164,9 +165,11 @@ def split_ranges(pages: int, per_part: int = 15) -> list[tuple]:
     return [(a, min(a + per_part - 1, pages)) for a in range(1, pages + 1, per_part)]
 
 
-def load_json(path: str, default: object) -> object:
+def load_json(path: str, default: object, spark: SparkSession | None = None) -> object:
+    """A JSON file, on any file system if a session is given; the default where it is missing or broken."""
     try:
-        return json.loads(Path(path).read_bytes())
+        held = read_bytes(spark, path) if spark else Path(path).read_bytes()
+        return default if held is None else json.loads(held)
     except (OSError, ValueError):
         return default
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hashing as hs
+from ..session import exists, file_system, write_bytes
 
 
 def _canonical(value, kind: T.DataType):
@@ -44,8 +44,9 @@ def write_lines(df: DataFrame, path: str, *order: str, files: int | None = None)
 def write_vault(objects: DataFrame, path: str) -> None:
     """(prefix, sha256, content) by prefix; objects that are there already are left alone."""
     spark = objects.sparkSession
-    if any(Path(path).glob("prefix=*")):
-        objects = objects.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    if exists(spark, path):
+        there = spark.read.schema("sha256 string, content binary, prefix string").parquet(path)
+        objects = objects.join(there.select("sha256"), "sha256", "left_anti")
     objects.select("sha256", "content", "prefix").write.mode("append").partitionBy("prefix").parquet(path)
 
 
@@ -62,23 +63,19 @@ def write_index(index: DataFrame, path: str) -> None:
     index.orderBy("sha256").write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
 
 
-def publish_tables(path: str, **tables: DataFrame) -> None:
-    """Parquet tables of explicit schemas, written even when empty, and temporary views over them."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}").createOrReplaceTempView(name)
-
-
 def write_text(path: str, value: str) -> None:
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_bytes(value.encode())
+    """A small text file, on any file system if a session is active."""
+    write_bytes(SparkSession.getActiveSession(), path, value.encode())
 
 
 def write_json(path: str, value: object) -> None:
     write_text(path, json.dumps(value, indent=1, sort_keys=True, ensure_ascii=False) + "\n")
 
 
-def lock(path: str) -> None:
-    """Makes a published local file read-only."""
-    Path(path).chmod(0o444)
+def lock(spark: SparkSession, path: str) -> None:
+    """Makes the files of a published folder read-only, where the file system has permissions."""
+    fs, p = file_system(spark, path)
+    only = spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("444")
+    found = fs.listFiles(p, True)
+    while found.hasNext():
+        fs.setPermission(found.next().getPath(), only)

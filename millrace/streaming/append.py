@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import reconcile
 from ..schemas import struct
+from ..session import exists
 
 
 def merge_stream(spark: SparkSession, source: str, ddl: str, target: str, key: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -19,7 +18,7 @@ def merge_stream(spark: SparkSession, source: str, ddl: str, target: str, key: s
     batch that is replayed after a failure appends nothing a second time.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(target) if os.path.isdir(target) else spark.createDataFrame([], batch.schema)
+        old = spark.read.schema(batch.schema).parquet(target) if exists(spark, target) else spark.createDataFrame([], batch.schema)
         reconcile.only_new(batch, old, key).write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(struct(ddl)).json(source)

@@ -161,3 +161,22 @@ def test_closed_schema(spark):
     got = schemas.schema_violations(spark.createDataFrame([(x,) for x in lines], "value string"), ddl).collect()
     assert [r["valid"] for r in got] == [True, False, False, False, False, False, False, True]
     assert [r["unknown"] for r in got][1] == ["z"] and [r["unknown"] for r in got][3] == ["b.y"] and [r["unknown"] for r in got][4] == ["d.f"]
+
+
+def test_windows_of_long_texts_take_linear_time(spark):
+    """Four times the text, about four times the time; pieces and byte offsets are those of plain slicing."""
+    import time
+
+    from millrace.operators import chunking
+
+    took = []
+    for n in (400_000, 1_600_000):
+        text = ("wörter und 漢字 " * (n // 14))[:n]
+        df = spark.createDataFrame([(1, text)], "i int, text string")
+        began = time.perf_counter()
+        rows = sorted(chunking.pieces(df).collect(), key=lambda r: r["char_start"])
+        took.append(time.perf_counter() - began)
+        assert all(r["piece"] == text[r["char_start"] : r["char_end"]] for r in rows) and rows[-1]["char_end"] == len(text)
+        for r in rows[:: len(rows) // 5]:
+            assert r["utf8_byte_start"] == len(text[: r["char_start"]].encode()) and r["utf8_byte_end"] == len(text[: r["char_end"]].encode())
+    assert took[1] < 12 * max(took[0], 0.5), took

@@ -178,3 +178,85 @@ def test_run_notices_changed_sources_extraction_and_custody(spark, folder):
     with pytest.raises(corpus.StageFailed) as e:
         run.verify()
     assert {r["check"] for r in e.value.failures} == {"custody"}
+
+
+def test_run_by_uri_appends_once(spark, folder):
+    """Source, work and output named by URIs: names of subfolders stay, and a second merge appends nothing."""
+    (folder / "in" / "sub" / "memo.txt").write_bytes(b"another memo")
+    config = RunConfig(chunk_target=400, chunk_overlap=50)
+    run = corpus.Run(spark, f"file://{folder}/in", f"file://{folder}/work", f"file://{folder}/out", config, utc="2024")
+    added = run.all()
+    names = {r[0] for r in run.table("records").selectExpr("explode(occurrences.relpath)").collect()}
+    assert {"memo.txt", "sub/memo.txt", "sub/deep/t.csv"} <= names
+    assert added > 8 and run.merge() == 0
+    run.verify()
+    assert spark.read.parquet(f"{folder}/out/chunks").count() == added
+    assert spark.read.parquet(f"{folder}/out/evidence").count() == spark.read.parquet(f"{folder}/out/documents").count()
+
+
+def test_each_tampering_is_named(spark, folder):
+    config = RunConfig(chunk_target=400, chunk_overlap=50)
+    run = corpus.Run(spark, str(folder / "in"), str(folder / "work"), str(folder / "out"), config, utc="2024")
+    run.all()
+    out = folder / "out"
+
+    def failed(step):
+        with pytest.raises(corpus.StageFailed) as e:
+            step()
+        return {r["check"] for r in e.value.failures}
+
+    def overwrite(df, path):
+        rows, schema = df.collect(), df.schema
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(path)
+
+    # a chunk under another id, in the table alone: id and lines disagree, and the seal is broken
+    chunks = spark.read.parquet(f"{out}/chunks")
+    kept = chunks.collect()
+    overwrite(chunks.withColumn("chunk_id", F.when(F.col("text").contains("visible"), F.sha2("chunk_id", 256)).otherwise(F.col("chunk_id"))), f"{out}/chunks")
+    assert failed(run.verify) == {"chunk_id", "id_parity", "seal"}
+    spark.createDataFrame(kept, chunks.schema).write.mode("overwrite").parquet(f"{out}/chunks")
+    run.verify()
+    # a smuggled name in the lines; a manifest with a line too many
+    (out / "chunks_jsonl" / "part-x.txt").write_text('{"smuggled":1}\n')
+    (out / "manifest" / "part-x.txt").write_text(f"{'0' * 64}\tsha256/00/none\n")
+    assert failed(run.verify) == {"schema", "id_parity", "manifest", "seal"} - {"seal"}
+    # a lost bundle stops chunking, and validation too
+    bundles = run.table("bundles")
+    overwrite(bundles.where("media_type <> 'eml'"), f"{folder}/work/bundles")
+    assert failed(run.chunk) == {"bundle_missing"} and "bundle_missing" in failed(run.validate)
+
+
+def test_index_manifest_and_lock(spark, folder):
+    run = corpus.Run(spark, str(folder / "in"), str(folder / "work"), str(folder / "out"), RunConfig(chunk_target=400, chunk_overlap=50), utc="2024")
+    run.all()
+    index = spark.read.option("header", True).csv(f"{folder}/out/index").collect()
+    assert len(index) == 10 and {r["ocr_status"] for r in index if r["media_type"] == "png"} == {"ocr_unavailable"} and {r["ocr_status"] for r in index if r["media_type"] == "txt"} == {"n/a"}
+    assert sum(int(r["chunk_count"]) for r in index) == spark.read.parquet(f"{folder}/out/chunks").count()
+    lines = sorted(tuple(r) for r in files.manifest(spark, f"{folder}/out/manifest").collect())
+    assert [a for a, _ in lines] == sorted(r["sha256"] for r in index)
+    sinks.lock(spark, f"{folder}/out/evidence")
+    modes = {p.stat().st_mode & 0o777 for p in (folder / "out" / "evidence").rglob("*.parquet")}
+    assert modes == {0o444}
+
+
+def test_json_documents(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "a": 1\n}')
+    (tmp_path / "b.json").write_text('{"a": 2}')
+    assert sorted(r["a"] for r in files.json_documents(spark, str(tmp_path), "a int").collect()) == [1, 2]
+
+
+def test_shared_folder_must_be_set_on_a_cluster(spark, monkeypatch):
+    from millrace import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
