@@ -512,6 +512,75 @@ def test_resampling_equals_direct_convolution():
             assert got[m] == pytest.approx((h * x).sum(), abs=1e-6)
 
 
+def test_clips_done_together_equal_single_ones(monkeypatch):
+    """Matrix rows, branches by phase and single outputs give the same, and clips don't leak into each other."""
+    rng = np.random.default_rng(5)
+    clips = [rng.normal(size=n) for n in (0, 1, 30, 700, 5, 2500)]
+    for source in (11025, 44100, 16000, 44101, 3):
+        got = audio.resample_all(clips, source, 8000)
+        assert [len(y) for y in got] == [-(-len(x) * 8000 // source) for x in clips]
+        for name, value in (("STEP", 1), ("KERNEL_CELLS", 1), ("CELLS", 64)):
+            with monkeypatch.context() as m:
+                m.setattr(audio, name, value)
+                for x, y, z in zip(clips, got, audio.resample_all([c[:200] for c in clips] if name == "KERNEL_CELLS" else clips, source, 8000)):
+                    upto = len(y) if len(x) <= 200 or name != "KERNEL_CELLS" else max(0, (200 - 16 * max(1, -(-source // 8000)) - 1) * 8000 // source)
+                    assert np.allclose(y[:upto], z[:upto], atol=1e-9)
+    assert len(audio.resample(clips[3], 2_000_000_011, 8000)) == 1  # a rate whose branches would be millions
+
+
+def test_features_equal_a_naive_loop(spark):
+    """Every row of features() against loops over clips, frames, bins and segments."""
+    s = audio.Settings()
+    rng = np.random.default_rng(7)
+    rows = []
+    for i, rate in enumerate((8000, 11025, 8000, 16000, 11025)):
+        t = np.arange(rate) / rate
+        loud = np.repeat(rng.choice([0.0, 0.001, 0.02, 0.5], 10), -(-rate // 10))[:rate]
+        rows.append((i, np.rint(loud * np.sin(2 * np.pi * 300 * (i + 1) * t) * 32767).astype("<i2").tobytes(), rate))
+    got = {(r["id"], r["segment"], r["part"]): r for r in audio.features(spark.createDataFrame(rows, "id bigint, audio binary, rate int")).collect()}
+    want = {}
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(s.window) / s.window)
+    wave = np.exp(-2j * np.pi * np.arange(s.size // 2 + 1)[:, None] * np.arange(s.window) / s.size)
+    for i, pcm, rate in rows:
+        x = np.frombuffer(pcm, "<i2") / 32768
+        cut, half = min(1.0, s.rate / rate), int(16 * max(1.0, rate / s.rate))
+        y = x
+        if rate != s.rate:
+            y = []
+            for m in range(-(-len(x) * s.rate // rate)):
+                t = m * rate / s.rate - np.arange(max(0, int(m * rate / s.rate) - half - 1), min(len(x), int(m * rate / s.rate) + half + 2))
+                h = np.where(np.abs(t) <= half, np.sinc(t * cut) * cut * (0.5 + 0.5 * np.cos(np.pi * t / half)), 0)
+                y.append((h * x[np.rint(m * rate / s.rate - t).astype(int)]).sum())
+            y = np.array(y)
+        frames = [y[a : a + s.window] for a in range(0, len(y) - s.window + 1, s.hop)]
+        level = [10 * np.log10(max((f * f).mean(), 1e-10)) for f in frames]
+        runs, at = [], 0
+        while at < len(level):
+            if level[at] < s.low_db:
+                at += 1
+                continue
+            end = at
+            while end < len(level) and level[end] >= s.low_db:
+                end += 1
+            if runs and at - runs[-1][1] <= s.gap:
+                runs[-1][1] = end
+            else:
+                runs.append([at, end])
+            at = end
+        runs = [(a, b) for a, b in runs if b - a >= s.least and max(level[a:b]) >= s.high_db]
+        for n, (a, b) in enumerate(runs):
+            for k, start in enumerate(range(a, b, s.frames)):
+                tensor = np.full((s.frames, s.mels), audio.FLOOR)
+                for j in range(start, min(b, start + s.frames)):
+                    tensor[j - start] = np.log(np.maximum(audio.filterbank(s) @ (np.abs((frames[j] * hann * wave).sum(axis=1)) ** 2 / s.size), 1e-10))
+                want[i, n, k] = (start * s.hop / s.rate, ((min(b, start + s.frames) - 1) * s.hop + s.window) / s.rate, min(b, start + s.frames) - start, tensor)
+    assert set(got) == set(want) and len(want) > 5
+    for key, (start, end, n, tensor) in want.items():
+        r = got[key]
+        assert (r["start_s"], r["end_s"], r["frames"]) == (pytest.approx(start), pytest.approx(end), n)
+        assert np.allclose(np.array(r["features"]).reshape(s.frames, s.mels), tensor, atol=2e-3)
+
+
 def test_log_mel_equals_naive_transform():
     s = audio.Settings()
     y = np.random.default_rng(2).normal(size=1000) * 0.1
@@ -553,6 +622,7 @@ def test_audio_features_and_tensors(spark, tmp_path):
     assert cube.shape == (len(rows), 32, 40)
     bank = audio.filterbank(audio.Settings())
     assert abs(int(cube[0][5].argmax()) - int(bank[:, round(440 * 256 / 8000)].argmax())) <= 1
+    assert audio.write_tensors(df, f"file://{tmp_path}/uri").agg({"rows": "sum"}).first()[0] == len(rows)
     files = audio.write_tensors(df, str(tmp_path / "out")).collect()
     read = pa.concat_tables(pa.ipc.open_file(r["file"]).read_all() for r in files)
     assert read.num_rows == len(rows) and isinstance(read.schema.field("features").type, pa.FixedShapeTensorType)
