@@ -245,7 +245,7 @@ def _mined(data: dict[int, list[bytes]], pool: ThreadPoolExecutor, seed: int, pa
 
 def fit(
     sample: list[tuple[str, int]], pairs: int = PAIRS, window: int = WINDOW, level: int = 3, general: int = 65536, own: int = 3072, k: int = 14,
-    mining: tuple[tuple[int, int], ...] = ((12288, 20), (4096, 16)), mining_pairs: int = 8, share: float = 0.99, screen: int = SCREEN, doubt: float = 0.25, usual_share: float = 0.97,
+    mining: tuple[tuple[int, int], ...] = ((12288, 20), (4096, 16)), mining_pairs: int = 14, share: float = 0.99, screen: int = SCREEN, doubt: float = 0.25, usual_share: float = 0.97,
     max_false_rate: float = 0.003, seed: int = 8,
 ) -> Model | None:
     """Train on (text, toxic) pairs but the last third of the ordinary and the last tenth of the toxic ones, and calibrate on those.
