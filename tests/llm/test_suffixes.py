@@ -44,12 +44,34 @@ def corpus(seed, n=60, least=10):
     return rows + [(None, rows[1][1])]
 
 
-@pytest.mark.parametrize("seed,batch,bits", [(1, 64, 1 << 28), (2, 1 << 20, 1 << 28), (3, 300, 1 << 16)])
-def test_against_brute_force(spark, seed, batch, bits):
+@pytest.mark.parametrize("seed,batch,bits,hot,family", [(1, 64, 1 << 28, 1 << 16, 100), (2, 1 << 20, 1 << 28, 3, 1 << 23), (3, 300, 1 << 16, 1 << 16, 1), (4, 200, 1 << 16, 12, 400), (5, 64, 1 << 28, 1, 1)])
+def test_against_brute_force(spark, seed, batch, bits, hot, family):
+    """Whatever the batches, filters, hot minimisers and lengths of families: the same passages."""
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
-    got = suffixes.repeats(docs, least=10, k=4, batch_words=batch, max_filter_bits=bits)
-    assert {tuple(r) for r in got.collect()} == brute(rows, 10)
+    got = [tuple(r) for r in suffixes.repeats(docs, least=10, k=4, batch_words=batch, max_filter_bits=bits, hot=hot, family_words=family).collect()]
+    assert set(got) == brute(rows, 10) and len(got) == len(set(got))
+
+
+def test_equal_batches_take_no_room():
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 1 << 32, 1000).astype(np.uint32)
+    family, found = suffixes.Family(50), 0
+    for _ in range(200):
+        found += len(family.add(w, np.array([600, 400]))[0])
+    assert family.size == 1000 and sum(len(x.key) for x in family.levels) == 551 + 351 and found == 199 * (551 + 351)
+    assert len(family.repeated()[0]) == 551 + 351
+
+
+def test_one_passage_in_a_third_of_all_rows(spark):
+    """A hot passage and a hot doc_id: found whole, by the way of hot minimisers and without it."""
+    line = " ".join(f"l{i}" for i in range(60))
+    docs = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN id WHEN id % 3 = 1 THEN 7 ELSE -id END AS doc_id",
+        f"CASE WHEN id % 3 = 0 THEN concat('a', id, ' {line} b', id) WHEN id % 3 = 1 THEN 'short {line}' ELSE concat('x', id) END AS text")
+    want = {(i, 1, 61, 60) for i in range(0, 3000, 3)} | {(7, 0, 61, 61)}
+    for hot in (1 << 16, 100):
+        assert {tuple(r) for r in suffixes.repeats(docs, hot=hot).collect()} == want
 
 
 def test_levels_grow_geometrically_and_find_everything():
