@@ -36,8 +36,15 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return spark
 
 
+#: Arrow batches to and from Python hold at most about this many bytes, of long texts and recordings too.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and keep their batches small."""
+    if spark.conf.get(_BATCH, "") in ("67108864b", ""):  # Spark's own value: whoever set another keeps it
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
