@@ -43,7 +43,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver found it, and keep their batches small."""
-    if spark.conf.get(_BATCH, "") in ("67108864b", ""):  # Spark's own value: whoever set another keeps it
+    if spark.conf.get(_BATCH) == "67108864b":  # Spark's own value: whoever set another keeps it
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
