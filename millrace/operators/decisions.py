@@ -90,6 +90,21 @@ def diagnose(breach_rows: DataFrame) -> DataFrame:
     return breach_rows.where("breached").join(F.broadcast(levers), "kpi", "left")
 
 
+def reviewed(changes: DataFrame, *lever: str, wait: int = 3) -> DataFrame:
+    """changes (cycle, value before, value after, higher_is_better, quality_breach) with verdict and retry_from.
+
+    VERIFIED if the KPI that a change was for held or improved; REVERTED if it
+    got worse or a quality breach came with it, and then the same change isn't
+    tried again for `wait` cycles: retry_from is the first cycle that may.
+    repeated_too_soon marks a change made before that.
+    """
+    gain = F.when(F.col("higher_is_better"), F.col("after") - F.col("before")).otherwise(F.col("before") - F.col("after"))
+    bad = F.coalesce(gain < 0, F.lit(False)) | F.coalesce(F.col("quality_breach"), F.lit(False))
+    t = changes.withColumn("verdict", F.when(bad, "REVERTED").otherwise("VERIFIED")).withColumn("retry_from", F.when(bad, F.col("cycle") + wait + 1))
+    order = Window.partitionBy(*lever).orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn("repeated_too_soon", F.coalesce(F.col("cycle") < F.max("retry_from").over(order), F.lit(False)))
+
+
 def cooled(cycles: DataFrame, *lever: str, wait: int = 3) -> DataFrame:
     """cycles (cycle, changed, breached) with may_act (no change in the last `wait` cycles) and clean (two cycles without breach)."""
     order = Window.partitionBy(*lever).orderBy("cycle")

@@ -31,9 +31,8 @@ def merkle_root(leaves: DataFrame, digest: str, order: str | None = None) -> Dat
     Leaves and inner nodes are hashed with different prefixes.  Each shuffle
     folds FOLD levels, so a billion leaves take four.
     """
-    rows = numbered(leaves.select(F.col(digest).alias("h"), F.col(order or digest).alias("o")), "o", name="i")
+    rows, n = numbered(leaves.select(F.col(digest).alias("h"), F.col(order or digest).alias("o")), "o", name="i")
     level = rows.select("i", _leaf(F.col("h")).alias("h"))
-    n = rows.count()
     if not n:
         return leaves.sparkSession.createDataFrame([(EMPTY, 0)], "root string, leaves bigint")
     left = math.ceil(math.log2(n)) if n > 1 else 0

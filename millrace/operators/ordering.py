@@ -14,8 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, *keys: str, name: str = "row_no") -> DataFrame:
-    """df with row numbers from 0 in the order of keys (ties as they come).
+def numbered(df: DataFrame, *keys: str, name: str = "row_no") -> tuple[DataFrame, int]:
+    """df with row numbers from 0 in the order of keys (ties as they come), and the number of rows.
 
     Rows are range-partitioned; each partition numbers its own from the sum of
     the sizes of those before it.  The ranges are cut into a checkpoint, so
@@ -28,11 +28,11 @@ def numbered(df: DataFrame, *keys: str, name: str = "row_no") -> DataFrame:
         at += n
     offsets = df.sparkSession.createDataFrame(starts, "_part int, _first bigint")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + own - 1).drop("_part", "_first")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_first") + own - 1).drop("_part", "_first"), at
 
 
 def systematic_sample(df: DataFrame, *keys: str, size: int = 2000) -> DataFrame:
     """Every (n // size)-th row in the order of keys, from the first; all rows when there are fewer than 2 * size."""
-    rows = numbered(df, *keys, name="line_no")
-    step = max(1, rows.count() // size)
+    rows, n = numbered(df, *keys, name="line_no")
+    step = max(1, n // size)
     return rows.where(F.col("line_no") % step == 0)

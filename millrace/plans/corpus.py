@@ -13,7 +13,7 @@ from ..functions import hashing as hs
 from ..operators import chunking, custody, extraction, intake, merkle, reconcile, reports, validate
 from ..schemas import CUSTODY, PUBLISHED_CHUNKS, RunConfig
 from ..session import ROOT, exists, local_path, read_bytes, utc_now
-from ..sources import files, sinks
+from ..sources import enclave, files, sinks
 
 
 VAULT = "sha256 string, content binary, prefix string"
@@ -99,6 +99,24 @@ class Run:
         self._save("bundles", extraction.extraction_sha(made))
         self._note("extract_completed", bundles=self.table("bundles").count())
 
+    def export_requests(self, folder: str) -> int:
+        """Hands the objects that need recognition to a host without a network."""
+        n = enclave.export(self.table("records"), self.table("vault"), folder)
+        self._note("requests_exported", requests=n)
+        return n
+
+    def import_responses(self, folder: str) -> int:
+        """Takes in what the host recognised, and extracts with it; requests that were changed stop it."""
+        try:
+            raw, status = enclave.responses(self.spark, self.table("records"), folder)
+        except enclave.Tampered as wrong:
+            raise StageFailed("import", [str(wrong)]) from wrong
+        raw = self._save("ocr_raw", raw)
+        counts = {r[0]: r[1] for r in reports.census(self._save("ocr_status", status), "status").collect()}
+        self._note("responses_imported", counts=counts)
+        self.extract(files.recognised(raw))
+        return counts.get("succeeded", 0)
+
     def chunk(self) -> None:
         """Stops before anything is written if a record has no bundle."""
         self._require("chunk", validate.missing_bundles(self.table("records"), self.table("bundles")))

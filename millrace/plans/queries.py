@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import content, markup
 from ..functions import hashing as hs
 from ..functions import text as tx
 from ..operators import chunking, custody, decisions, intake, merkle, ordering, reconcile, reports, usage, validate
+from ..schemas import schema_violations
 from . import tables as tb
 
 QUERIES: dict = {}
@@ -515,3 +516,124 @@ def tuning_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT bool_and(quality = 1 OR toxic = 0) AS passed FROM labels")
 def all_of_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.all_pass(tb.read(spark, sf_dir, "labels").select(((F.col("quality") == 1) | (F.col("toxic") == 0)).alias("passed")))
+
+
+# more of the decision tables, checks and reports
+
+_KINDS = "run_and_report search summarize mechanical_edit docs debugging security tidy".split()
+
+
+@query("""WITH w AS (SELECT doc_id, doc_id % 8 AS k, coalesce(n_chars, 0) > 2000 AS heavy, doc_id % 3 = 0 AS ver, doc_id % 17 = 0 AS irr, doc_id % 19 = 0 AS stakes FROM documents)
+    SELECT doc_id, CASE WHEN irr OR stakes THEN 'FRONTIER' WHEN k = 2 AND heavy THEN 'STANDARD' WHEN k < 3 THEN 'ECONOMY' WHEN k < 5 THEN 'STANDARD' WHEN k < 7 THEN 'FRONTIER' WHEN ver THEN 'STANDARD' ELSE 'FRONTIER' END AS tier FROM w""")
+def route_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    heavy = F.coalesce("n_chars", F.lit(0)) > 2000
+    return d.select("doc_id", decisions.route(kind, heavy, F.col("doc_id") % 3 == 0, F.col("doc_id") % 17 == 0, F.col("doc_id") % 19 == 0).alias("tier"))
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE 80 + doc_id % 25 END AS score, CASE doc_id % 3 WHEN 0 THEN ' None ' WHEN 1 THEN 'crash' END AS blocker, doc_id % 2 AS changes FROM labels)
+    SELECT doc_id, coalesce(score BETWEEN 0 AND 100 AND CASE WHEN score >= 90 THEN lower(trim(blocker)) = 'none' ELSE changes >= 1 END, FALSE) AS valid FROM s""")
+def score_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    score = F.when(k % 29 != 0, F.lit(80) + k % 25)
+    blocker = F.when(k % 3 == 0, " None ").when(k % 3 == 1, "crash")
+    return tb.read(spark, sf_dir, "labels").select("doc_id", decisions.score_is_valid(score, blocker, k % 2).alias("valid"))
+
+
+@query("""WITH r AS (SELECT user_id AS run, event_id % 4 + 1 AS check_no, 1 + user_id % 4 AS seats, value > 120 AS passed FROM events),
+    g AS (SELECT run, min(seats)::BIGINT AS seats, min(CASE WHEN passed THEN check_no END) AS first FROM r GROUP BY run)
+    SELECT run, seats, CASE WHEN seats < 2 THEN 'abort' WHEN seats = 2 THEN 'degraded' WHEN first = 1 THEN 'converged_1' WHEN first = 2 THEN 'converged_2' ELSE 'not_converged' END AS status FROM g""")
+def convergence_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = tb.read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), (F.col("event_id") % 4 + 1).alias("check_no"), (1 + F.col("user_id") % 4).alias("seats"), (F.col("value") > 120).alias("passed"))
+    return decisions.convergence(r, "run")
+
+
+@query(f"""WITH b AS ({ORACLES["kpi_breaches"]}), l(kpi, meaning, lever) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in decisions.LEVERS)})
+    SELECT b.*, meaning, lever FROM b LEFT JOIN l USING (kpi) WHERE breached""")
+def breach_levers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.diagnose(kpi_breaches(spark, sf_dir))
+
+
+@query("""SELECT h.source AS reason_code, h.fingerprint FROM (SELECT source, sha256(source) AS fingerprint FROM documents GROUP BY source) h
+          WHERE h.fingerprint NOT IN (SELECT sha256(source) FROM documents WHERE doc_id % 97 = 0 AND source IS NOT NULL)""")
+def new_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.read(spark, sf_dir, "documents").select("doc_id", "source").where("source IS NOT NULL").withColumn("fingerprint", F.sha2("source", 256))
+    harvest = d.groupBy(F.col("source").alias("reason_code"), "fingerprint").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    return reports.new_issues(harvest, d.where("doc_id % 97 = 0"))
+
+
+@query("""SELECT 'orphan_chunk' AS "check", sha256('c' || doc_id::VARCHAR) AS subject, sha256(text) AS detail FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 <> 0)""")
+def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    chunks = d.select(F.sha2(F.concat(F.lit("c"), F.col("doc_id").cast("string")), 256).alias("chunk_id"), F.col("sha256").alias("source_sha256"))
+    return validate.orphans(chunks, d.where("doc_id % 10 <> 0").select("sha256").distinct())
+
+
+_SPOILT = "CASE WHEN doc_id % 50 = 0 THEN text || '!' ELSE text END"
+
+
+@query(f"""SELECT 'vault_hash' AS "check", sha256(text) AS subject, sha256({_SPOILT}) AS detail FROM documents WHERE sha256(text) <> sha256({_SPOILT})""")
+def vault_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoilt = F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return validate.vault(tb.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), spoilt.cast("binary").alias("content")))
+
+
+@query(f"""SELECT 'vault_hash' AS "check", sha256(text) AS subject, sha256({_SPOILT}) AS detail FROM documents WHERE sha256(text) <> sha256({_SPOILT}) ORDER BY subject, detail LIMIT 50""")
+def failure_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.preview(vault_hashes(spark, sf_dir))
+
+
+@query("""SELECT conv_id, turn, conv_id % 7 <> 0 AND conv_id % 11 <> 0 AND turn % 5 <> 4 AS valid, CASE WHEN conv_id % 7 = 0 THEN 'smuggled' ELSE '' END AS unknown FROM conversations""")
+def closed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as JSON lines: some with a name outside the schema, some with an ill-typed number, some cut off."""
+    c = tb.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    extra = F.when(F.col("conv_id") % 7 == 0, ',"smuggled":1').otherwise("")
+    number = F.when(F.col("conv_id") % 11 == 0, '"two"').otherwise("2")
+    tail = F.when((F.col("turn") % 5 == 4) & (F.col("conv_id") % 7 != 0), "").otherwise("}")
+    line = F.concat(F.lit('{"role":"'), "role", F.lit('","n":'), number, extra, tail)
+    t = schema_violations(c.withColumn("value", line), "role string, n int")
+    # of a line that is cut off no names can be read; one with a smuggled name is whole here, and invalid all the same
+    return t.select("conv_id", "turn", "valid", F.array_join("unknown", "|").alias("unknown"))
+
+
+@query("""WITH a AS (SELECT sha256(text) AS k, count(*)::BIGINT AS n FROM documents GROUP BY 1), b AS (SELECT sha256(text) AS k, count(*)::BIGINT AS n FROM documents WHERE doc_id % 40 <> 0 GROUP BY 1)
+    SELECT 'id_parity' AS "check", a.k AS subject, a.n::VARCHAR || ' / ' || coalesce(b.n, 0)::VARCHAR AS detail FROM a LEFT JOIN b USING (k) WHERE a.n <> coalesce(b.n, 0)""")
+def id_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("chunk_id"))
+    return validate.id_parity(d, d.where("doc_id % 40 <> 0"))
+
+
+@query("""WITH b AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'pdf' WHEN 2 THEN 'txt' ELSE 'tiff' END AS kind, doc_id % 3 AS r FROM documents)
+    SELECT CASE WHEN kind = 'txt' THEN 'n/a' WHEN r = 0 THEN 'succeeded' WHEN r = 1 THEN 'ocr_unavailable' ELSE 'n/a' END AS status, count(*)::BIGINT AS n FROM b GROUP BY 1""")
+def ocr_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tb.read(spark, sf_dir, "documents").select("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("png", "pdf", "txt", "tiff"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    bundles = d.select(
+        F.col("doc_id").cast("string").alias("source_sha256"), kind.alias("media_type"), F.when(F.col("doc_id") % 3 == 0, "raw").alias("ocr_raw_sha256"),
+        F.when(F.col("doc_id") % 3 == 1, F.array(F.lit("ocr_unavailable"))).otherwise(none).alias("parse_warnings"))
+    return reports.census(reports.ocr_status(bundles), "status")
+
+
+@query()
+def corpus_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle roots over all chunk ids, document hashes and manifest lines; levels in SQL would be too slow, a plain version is in the tests."""
+    chunks = tb.pieces(spark, sf_dir).select("chunk_id")
+    docs = tb.read(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256")).distinct()
+    return merkle.corpus_roots(chunks, docs, docs.select("sha256", hs.vault_path(F.col("sha256")).alias("relpath")))
+
+
+@query("""WITH c AS (SELECT event_type AS lever, dense_rank() OVER (PARTITION BY event_type ORDER BY strftime(ts, '%Y-%m-%d'))::BIGINT AS cycle, user_id, value FROM events),
+    v AS (SELECT lever, cycle, count(*)::BIGINT AS before, count(CASE WHEN user_id % 2 = 0 THEN 1 END)::BIGINT * 2 AS after, lever < 'm' AS higher, max(user_id) % 9 = 0 AS q FROM c GROUP BY lever, cycle),
+    b AS (SELECT *, CASE WHEN higher THEN after < before ELSE before < after END OR q AS bad FROM v),
+    r AS (SELECT lever, cycle, CASE WHEN bad THEN 'REVERTED' ELSE 'VERIFIED' END AS verdict, CASE WHEN bad THEN cycle + 4 END AS retry_from FROM b)
+    SELECT *, coalesce(cycle < max(retry_from) OVER (PARTITION BY lever ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS repeated_too_soon FROM r""")
+def verify_and_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tb.read(spark, sf_dir, "events").select(F.col("event_type").alias("lever"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id")
+    # a day's figures first: the ranking then runs over a row for each lever and day
+    day = e.groupBy("lever", "day").agg(F.count(F.lit(1)).alias("before"), (F.count_if(F.col("user_id") % 2 == 0) * 2).alias("after"), (F.max("user_id") % 9 == 0).alias("quality_breach"))
+    cycle = F.row_number().over(Window.partitionBy("lever").orderBy("day")).cast("bigint")
+    changes = day.withColumn("cycle", cycle).withColumn("higher_is_better", F.col("lever") < "m")
+    return decisions.reviewed(changes, "lever").select("lever", "cycle", "verdict", "retry_from", "repeated_too_soon")

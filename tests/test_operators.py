@@ -38,7 +38,9 @@ def test_merkle_root(spark, n, monkeypatch):
 
 def test_numbering_and_sample(spark):
     df = spark.range(5000).withColumn("k", (F.col("id") * 7919) % 5000)
-    rows = ordering.numbered(df, "k").collect()
+    numbered, n = ordering.numbered(df, "k")
+    rows = numbered.collect()
+    assert n == len(rows)
     assert all(r["k"] == r["row_no"] for r in rows)
     assert sorted(r["k"] for r in ordering.systematic_sample(df, "k", size=2000).collect()) == list(range(0, 5000, 2))
     assert ordering.systematic_sample(df.where("k < 3999"), "k", size=2000).count() == 3999
