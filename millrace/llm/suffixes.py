@@ -45,8 +45,8 @@ K = 16
 #: A batch of a family, in words; memory in a task is a small multiple of it and of the distinct stretches.
 BATCH_WORDS = 1 << 20
 MAX_FILTER_BITS = 1 << 28
-#: Occurrences beyond which a minimiser is hot, and words after which a family ends with the key it is at.
-HOT = 1 << 16
+#: Occurrences beyond which a minimiser is hot (its stretches would be some 20 million words in one task), and words after which a family ends with the key it is at.
+HOT = 1 << 18
 FAMILY_WORDS = 1 << 23
 _SLICE = 19
 
