@@ -442,6 +442,30 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(cost(w + rng.normal(size=4) * s) >= best - 1e-9 for s in (1e-3, 1e-2, 0.1, 1) for _ in range(200))
 
 
+def test_nbsvm_weights_and_scores_by_hand():
+    """Log-count ratios from sets of features, scaling, interpolation, the held-out bias and scores, in plain Python."""
+    rng = random.Random(14)
+    sample = [(t, 0) for t in two_kinds(rng, 12, True, ["spam", "win"], 0.3, 5, 12)] + [(t, 1) for t in two_kinds(rng, 20, False, [], 0, 5, 12)]
+    bits, smoothing, c, beta = 12, 0.5, 0.2, 0.4
+    model = nbsvm.fit(sample, bits=bits, smoothing=smoothing, c=c, beta=beta, held=0.25, max_false_rate=0.2, epochs=15, seed=3)
+    grams = lambda t: set(nbsvm.features(pa.array([t]), bits)[1].tolist())
+    bad, good = [t for t, y in sample if y == 0], [t for t, y in sample if y == 1]
+    texts, y = bad[:9] + good[:15], [-1.0] * 9 + [1.0] * 15
+    p, q = Counter(), Counter()
+    for t, k in zip(texts, y):
+        (p if k > 0 else q).update(grams(t))
+    total = lambda n: sum(n.values()) + smoothing * (1 << bits)
+    ratio = {a: np.log((smoothing + p[a]) / total(p)) - np.log((smoothing + q[a]) / total(q)) for a in set(p) | set(q)}
+    rows = [np.array([*sorted(grams(t)), 1 << bits]) for t in texts]
+    w = nbsvm.descend(rows, [np.array([*(ratio[a] for a in r[:-1].tolist()), 1.0]) for r in rows], np.array(y), (1 << bits) + 1, c, 15, 3)
+    mean = np.mean([abs(w[a]) for a in ratio if ratio[a] != 0])
+    want = {a: ((1 - beta) * mean + beta * w[a]) * r for a, r in ratio.items()}
+    raw = sorted(sum(want.get(a, 0.0) for a in grams(t)) for t in good[15:])
+    assert model.bias == pytest.approx(-raw[int(5 * 0.2)])
+    for t, _ in sample:
+        assert model.score(pa.array([t]))[0] == pytest.approx(sum(want.get(a, 0.0) for a in grams(t)) + model.bias)
+
+
 def test_nbsvm_features_are_token_grams():
     texts = ["Go, go! x", "", None, "go go"]
     row, at = nbsvm.features(pa.array(texts, type=pa.large_string()))
@@ -485,6 +509,36 @@ def test_document_frequencies_are_exact(spark):
     assert times.sum() == 4 + 3 + 2
 
 
+def test_one_step_of_the_leader_by_hand():
+    """A single batch from zero weights: gradients, steps and the elastic net in plain Python."""
+    rng = random.Random(3)
+    names = sorted(LANGS)[:3]
+    sample = [(t, lang) for lang in names for t in lingual(rng, lang, 4)]
+    bits, alpha, beta, l1, l2 = 10, 0.7, 1.3, 0.01, 0.2
+    seen, n = np.arange(1 << bits) % 7, 50
+    model = langid.fit(sample, seen, n, bits=bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=1, batch=100, held=0.0)
+    grad = {}
+    for text, lang in sample:
+        _, at, times = langid.counts(pa.array([text]), bits)
+        tfidf = {int(a): int(t) * (np.log((1 + n) / (1 + int(seen[a]))) + 1) for a, t in zip(at, times)}
+        norm = sum(v * v for v in tfidf.values()) ** 0.5
+        for c, name in enumerate(names):
+            for a, v in [*((a, v / norm) for a, v in tfidf.items()), ("bias", 1.0)]:
+                grad[a, c] = grad.get((a, c), 0.0) + (1 / 3 - (name == lang)) * v / len(sample)
+    step = lambda g: 0.0 if abs(g) <= l1 else -(g - np.sign(g) * l1) / ((beta + abs(g)) / alpha + l2)
+    want = np.zeros((1 << bits, 3))
+    for (a, c), g in grad.items():
+        if a != "bias":
+            want[a, c] = step(g)
+    assert np.allclose(model.weight, want) and np.allclose(model.bias, [step(grad["bias", c]) for c in range(3)])
+    assert 0 < (want == 0).mean() < 1 and model.temperature == 1.0
+    # scores of a text: the sum over its grams
+    text = sample[0][0]
+    _, at, times = langid.counts(pa.array([text]), bits)
+    value = times * (np.log((1 + n) / (1 + seen[at])) + 1)
+    assert np.allclose(model.logits(pa.array([text]))[0], (value / np.sqrt((value * value).sum())) @ want[at] + model.bias)
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(3)
     logits = rng.normal(size=(4000, 3))
