@@ -17,8 +17,15 @@ def chunks_per_source(records: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def index(records: DataFrame, chunks: DataFrame, ocr_status: DataFrame) -> DataFrame:
-    """The CSV index: one row per record, in eight columns; order by sha256 when writing."""
-    t = records.join(chunks_per_source(records, chunks), "sha256").join(ocr_status.select("sha256", F.col("status").alias("_s")), "sha256", "left")
+    """The CSV index: one row per record, in eight columns; order by sha256 when writing.
+
+    chunks is a table of chunks, or of their numbers (sha256, chunk_count) where these are known.
+    """
+    if "chunk_count" in chunks.columns:
+        counts = records.select("sha256").join(chunks.select("sha256", F.col("chunk_count").cast("bigint").alias("n")), "sha256", "left").select("sha256", F.coalesce("n", F.lit(0)).alias("chunk_count"))
+    else:
+        counts = chunks_per_source(records, chunks)
+    t = records.join(counts, "sha256").join(ocr_status.select("sha256", F.col("status").alias("_s")), "sha256", "left")
     first = F.array_min(F.transform("occurrences", lambda o: o["relpath"]))
     return t.select(
         "sha256", "media_type", "size_bytes", F.size("occurrences").cast("bigint").alias("occurrence_count"), tx.csv_guard(first).alias("first_relpath"),

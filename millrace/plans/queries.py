@@ -108,10 +108,9 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_spans(2000, 200) + _PIECES + """ SELECT d.source, count(DISTINCT d.doc_id)::BIGINT AS documents, count(q.doc_id)::BIGINT AS chunks,
         coalesce(sum(length(q.piece)), 0)::BIGINT AS chars FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id GROUP BY d.source""")
 def chunks_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = tb.pieces(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("piece")).alias("c"))
-    t = tb.read(spark, sf_dir, "documents").select("doc_id", "source").join(per, "doc_id", "left")
+    t = chunking.counted(tb.read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return t.groupBy("source").agg(
-        F.count_distinct("doc_id").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("c"), F.lit(0)).alias("chars"))
+        F.count_distinct("doc_id").alias("documents"), F.sum("chunk_count").alias("chunks"), F.sum("chunk_chars").alias("chars"))
 
 
 @query(_spans(2000, 200) + _PIECES + f""", c AS (SELECT doc_id, s, {_chunk_id(2000, 200)} AS chunk_id FROM q)
@@ -136,7 +135,7 @@ def chunk_rederive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_spans(2000, 200) + _PIECES + f""", c AS (SELECT q.doc_id, d.lang, {_chunk_id(2000, 200)} AS chunk_id FROM q JOIN documents d ON d.doc_id = q.doc_id)
     SELECT DISTINCT chunk_id FROM c WHERE lang <> 'en' AND chunk_id NOT IN (SELECT chunk_id FROM c WHERE lang = 'en')""")
 def append_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tb.pieces(spark, sf_dir).select("doc_id", "chunk_id").join(tb.read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    t = tb.pieces(spark, sf_dir, carry=("lang",)).select("lang", "chunk_id")
     return reconcile.only_new(t.where("lang <> 'en'"), t.where("lang = 'en'"), "chunk_id").select("chunk_id")
 
 
@@ -151,8 +150,9 @@ def append_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
            coalesce(n.n, 0)::BIGINT AS chunk_count FROM r LEFT JOIN n ON n.source_sha256 = r.sha256""".replace("min('=' || " + _path(), "min('=' || " + _path("d.")))
 def index_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = intake_rows(spark, sf_dir).withColumn("relpath", F.concat(F.lit("="), "relpath"))
-    chunks = tb.pieces(spark, sf_dir).select("source_sha256", "char_start", "char_end").distinct()
-    d = tb.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    d = tb.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "text")
+    # equal texts have equal chunks
+    chunks = chunking.counted(d).groupBy("sha256").agg(F.max("chunk_count").alias("chunk_count"))
     status = d.join(tb.read(spark, sf_dir, "labels"), "doc_id").groupBy("sha256").agg(F.max("quality").alias("q"))
     return reports.index(intake.records(j, ""), chunks, status.select("sha256", F.when(F.col("q") == 1, "succeeded").otherwise("failed").alias("status")))
 

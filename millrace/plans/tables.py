@@ -22,9 +22,9 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("text").cast("bigint").alias("size_bytes"), F.lit("txt").alias("media_type"), F.lit("txt").alias("magic_label"), F.lit(None).cast("string").alias("reason_code"))
 
 
-def pieces(spark: SparkSession, sf_dir: str, target: int = 2000, overlap: int = 200) -> DataFrame:
+def pieces(spark: SparkSession, sf_dir: str, target: int = 2000, overlap: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of documents as native text without page numbers; their extraction hash is the text's."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_sha256"), "text")
+    d = read(spark, sf_dir, "documents").select("doc_id", *carry, F.sha2("text", 256).alias("source_sha256"), "text")
     t = chunking.pieces(d, "text", target, overlap)
     made = hs.chunk_id(
         F.col("source_sha256"), F.col("source_sha256"), F.lit(hs.chunk_config_sha(target, overlap)), F.lit("native-text"), F.lit(None).cast("int"),
