@@ -26,8 +26,7 @@ def allocate(sizes: DataFrame, budget_share: float = 1.0, max_epochs: float = 4.
 
     sizes has source, size and (null: size ** power) weight.  The budget is
     budget_share of the total size, at most what the caps allow.  Returns
-    source, size, weight, cap, level (the water level when this source is next to fill),
-    quota and epochs.  A source of size or weight 0, or whose weight is negative or not
+    source, size, weight, cap, quota and epochs.  A source of size or weight 0, or whose weight is negative or not
     a number, gets 0 epochs.  One row per source: the ordering window runs over this
     small aggregate, never over documents.
     """
