@@ -520,14 +520,14 @@ def all_of_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # more of the decision tables, checks and reports
 
-_KINDS = "run_and_report search summarize mechanical_edit docs debugging security tidy".split()
+_WORK = "run_and_report search summarize mechanical_edit docs debugging security tidy".split()
 
 
 @query("""WITH w AS (SELECT doc_id, doc_id % 8 AS k, coalesce(n_chars, 0) > 2000 AS heavy, doc_id % 3 = 0 AS ver, doc_id % 17 = 0 AS irr, doc_id % 19 = 0 AS stakes FROM documents)
     SELECT doc_id, CASE WHEN irr OR stakes THEN 'FRONTIER' WHEN k = 2 AND heavy THEN 'STANDARD' WHEN k < 3 THEN 'ECONOMY' WHEN k < 5 THEN 'STANDARD' WHEN k < 7 THEN 'FRONTIER' WHEN ver THEN 'STANDARD' ELSE 'FRONTIER' END AS tier FROM w""")
 def route_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tb.read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _WORK)), (F.col("doc_id") % 8 + 1).cast("int"))
     heavy = F.coalesce("n_chars", F.lit(0)) > 2000
     return d.select("doc_id", decisions.route(kind, heavy, F.col("doc_id") % 3 == 0, F.col("doc_id") % 17 == 0, F.col("doc_id") % 19 == 0).alias("tier"))
 
