@@ -28,6 +28,27 @@ def judged(candidates: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
         F.col("_kind.media_type").alias("media_type"), F.col("_kind.magic_label").alias("magic_label"), F.coalesce("_early", "_kind.reason").alias("reason_code"))
 
 
+def changed(judgement: DataFrame, after: DataFrame) -> DataFrame:
+    """relpath of each file that was read and has another size or time, or is gone, in a later listing (files.states)."""
+    was = judgement.where("sha256 IS NOT NULL").select("relpath", "size_bytes", "mtime_utc")
+    now = after.select("relpath", F.col("size_bytes").alias("_size"), F.col("mtime_utc").alias("_mtime"))
+    same = F.col("size_bytes").eqNullSafe(F.col("_size")) & F.col("mtime_utc").eqNullSafe(F.col("_mtime"))
+    return was.join(now, "relpath", "left").where(~same).select("relpath").distinct()
+
+
+def miscopied(judgement: DataFrame, objects: DataFrame) -> DataFrame:
+    """sha256 of accepted content that the vault holds under that address with other bytes."""
+    wanted = judgement.where("reason_code IS NULL").select("sha256").distinct()
+    return objects.join(wanted, "sha256", "left_semi").where(F.sha2("content", 256) != F.col("sha256")).select("sha256").distinct()
+
+
+def captured(judgement: DataFrame, changed_: DataFrame, miscopied_: DataFrame) -> DataFrame:
+    """The judgement with what capturing found: a change while reading, then a bad copy, go before what the bytes say."""
+    t = judgement.join(changed_.withColumn("_changed", F.lit(True)), "relpath", "left").join(miscopied_.withColumn("_bad", F.lit(True)), "sha256", "left")
+    found = F.when(F.col("_changed"), "SOURCE_CHANGED_DURING_CAPTURE").when(F.col("_bad"), "TAMPER_COPY_MISMATCH").otherwise(F.col("reason_code"))
+    return t.withColumn("reason_code", found).select(*judgement.columns)
+
+
 def drops(judgement: DataFrame, utc: str) -> DataFrame:
     return judgement.where("reason_code IS NOT NULL").select("relpath", "reason_code", F.coalesce(F.col("magic_label"), F.lit("")).alias("detail"), F.lit(utc).alias("utc"))
 

@@ -87,11 +87,20 @@ class Run:
         found = found.withColumn("problem", F.lit(None).cast("string")).join(odd.select("relpath"), "relpath", "left_anti").unionByName(odd)
         return intake.judged(found, self.config)
 
+    def _objects(self) -> DataFrame:
+        """The vault's objects that a record names; what was rejected as a bad copy is none of them."""
+        return self.table("vault").join(self.table("records").select("sha256"), "sha256", "left_semi")
+
     def scan(self) -> None:
-        judged = self._save("judged", self._walk())
+        """Reads every file once, lists them again to find those that changed meanwhile, and hashes the copies in the vault."""
+        read = self._save("read", self._walk())
+        changed = self._save("changed", intake.changed(read, files.states(self.spark, self.source)))
+        sinks.write_vault(intake.vault(read.join(changed, "relpath", "left_anti")), f"{self.work}/vault")
+        bare = read.drop("content")
+        miscopied = self._save("miscopied", intake.miscopied(bare, self.table("vault")))
+        judged = self._save("judged", intake.captured(bare, changed, miscopied))
         self._save("records", intake.records(judged, self.utc))
         self._save("drops", intake.drops(judged, self.utc))
-        sinks.write_vault(intake.vault(judged), f"{self.work}/vault")
         self._note("scan_completed", records=self.table("records").count(), drops=self.table("drops").count())
 
     def extract(self, ocr: DataFrame | None = None) -> None:
@@ -126,7 +135,7 @@ class Run:
 
     def validate(self) -> None:
         """Accepted and dropped files against a fresh walk and hash of the source, native text against a second extraction, and the tables against each other."""
-        records, objects, bundles, chunks = map(self.table, ("records", "vault", "bundles", "chunks"))
+        records, objects, bundles, chunks = self.table("records"), self._objects(), self.table("bundles"), self.table("chunks")
         walked = self._save("walked", self._walk().select("relpath", "sha256"))
         occurrences = records.select(F.explode("occurrences.relpath").alias("relpath"), "sha256")
         accepted = records.select(F.explode("occurrences.relpath").alias("relpath"))
@@ -151,7 +160,7 @@ class Run:
         clash = reconcile.upsert_plan(documents, old_docs, "sha256", "extraction_sha256").where("action = 'conflict'").limit(50).collect()
         if clash:
             raise StageFailed("merge", clash)
-        sinks.write_vault(self.table("vault"), f"{self.output}/evidence")
+        sinks.write_vault(self._objects(), f"{self.output}/evidence")
         new = self._save("new_chunks", reconcile.only_new(chunks, old_chunks, "chunk_id"))
         self._save("new_documents", reconcile.only_new(documents, old_docs, "sha256")).write.mode("append").parquet(f"{self.output}/documents")
         new.write.mode("append").parquet(f"{self.output}/chunks")

@@ -38,6 +38,11 @@ def candidates(spark: SparkSession, root: str, max_file_bytes: int | None = None
     return small.unionByName(large)
 
 
+def states(spark: SparkSession, root: str) -> DataFrame:
+    """relpath, size_bytes and mtime_utc of each file as it is now; no content is read."""
+    return candidates(spark, root).drop("content")
+
+
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """A local folder with what only its file system tells: relpath, size_bytes and problem.
 

@@ -1,5 +1,6 @@
 """The whole plan over a folder, sources and sinks, streaming, and every query against its SQL."""
 
+import hashlib
 import json
 import os
 
@@ -71,6 +72,40 @@ def test_merge_needs_a_fresh_gate_and_stops_on_conflict(spark, folder):
         run.merge()
 
 
+def test_changes_while_reading_and_bad_copies_are_dropped(spark, folder, monkeypatch):
+    config = RunConfig(chunk_target=400, chunk_overlap=50)
+    run = corpus.Run(spark, str(folder / "in"), str(folder / "work"), str(folder / "out"), config, utc="2024")
+    sha = hashlib.sha256(MAIL).hexdigest()
+    # the vault holds the mail's address already, with other bytes
+    sinks.write_vault(spark.createDataFrame([(sha[:2], sha, bytearray(b"not the mail"))], "prefix string, sha256 string, content binary"), f"{folder}/work/vault")
+    states = files.states
+
+    def meanwhile(spark, root):
+        (folder / "in" / "memo.txt").write_bytes(b"longer now " * 1000)
+        (folder / "in" / "bytes.txt").unlink()
+        os.utime(folder / "in" / "fake.txt", (1, 1))
+        return states(spark, root)
+
+    monkeypatch.setattr(files, "states", meanwhile)
+    run.scan()
+    drops = {r["relpath"]: r["reason_code"] for r in run.table("drops").collect()}
+    changed = "SOURCE_CHANGED_DURING_CAPTURE"
+    assert drops == {
+        "bad.pdf": "TAMPER_TRUNCATED", "empty.txt": "RESOURCE_EMPTY", "link.txt": "SYMLINK_REJECTED",
+        "memo.txt": changed, "bytes.txt": changed, "fake.txt": changed, "follow-up.eml": "TAMPER_COPY_MISMATCH"}
+    kept = {p for r in run.table("records").select(F.col("occurrences.relpath").alias("p")).collect() for p in r["p"]}
+    # the copy of the changed memo was read whole and stays
+    assert "sub/copy.txt" in kept and not kept & set(drops)
+    # a rejected copy isn't published
+    (folder / "in" / "bytes.txt").write_bytes(b"back")
+    run.extract()
+    run.chunk()
+    run.validate()
+    run.merge()
+    run.verify()
+    assert spark.read.parquet(f"{folder}/out/evidence").where(F.col("sha256") == sha).count() == 0
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "e.txt").write_bytes(b"")
