@@ -15,9 +15,13 @@ bits, where no vantage point prunes, and the tree is often a single shard.
 
 Within a shard pigeonhole bands prune: cut into m bands, fingerprints within
 the radius differ in at most t = ceil((radius + 1) / m) - 1 bits of some band
-(for 51: 3 bits of one of 13).  A task looks up the values within t bits of each
-point's in its bands and counts all bits of what it finds; a pair is given by the
-first band that finds it.  Both bounds are exact, so no pair is lost.  Large
+(for 51: 3 bits of one of 13).  Taken round the ring of bands, one such band can
+even be chosen so that it and the l - 1 after it differ by l * radius / m bits at
+most, for every l.  So a task looks up the values within t bits of each point's in
+its bands, and of what it finds counts the AFTER bits behind the band first: of
+unrelated fingerprints next to none are left, and of the rest all bits are counted.
+A pair is given by the first band that finds it.  All bounds are exact, so no pair
+is lost.  Large
 shards are cut into tiles, and a task compares two tiles of at most about
 TILE_POINTS points: with T tiles each fingerprint is sent to T + 1 tasks.  Only
 while tiles are too few to occupy the cluster are the bands of two tiles spread
@@ -54,6 +58,8 @@ LEAF_SHARE = 1 / 64
 TILE_POINTS = 1 << 21
 BAND_BITS = 20
 BAND_REACH = 3
+#: Bits behind a band that are counted before all of them: they fit a word, and three bands of 13.
+AFTER = 59
 #: Pairs of tiles that aren't worth spreading further, for each core.
 TASKS_A_CORE = 2
 REMOVED_BYTES = 64 << 20
@@ -237,16 +243,31 @@ def _bands(radius: int) -> tuple[list[int], int]:
 
 
 def _value(words: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Bits low to high of fingerprints whose words lie on the last axis."""
-    w, shift = divmod(low, 64)
-    v = words[..., w] >> np.uint64(shift)
-    if high > 64 * (w + 1):
-        v = v | (words[..., w + 1] << np.uint64(64 - shift))
+    """Bits low to high of fingerprints whose words lie on the first axis; beyond the last bit the first follows."""
+    w, shift = divmod(low % (64 * WORDS), 64)
+    v = words[w] >> np.uint64(shift)
+    if shift + high - low > 64:
+        v = v | (words[(w + 1) % WORDS] << np.uint64(64 - shift))
     return (v & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
 
 
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+def _most(radius: int, band: int) -> int:
+    """The bits that a pair differs by, at most, in a band and the AFTER bits behind it, if that band finds it."""
+    edges, _ = _bands(radius)
+    m, covered, end = len(edges) - 1, 1, 0
+    while end < AFTER:
+        at = (band + covered) % m
+        end += edges[at + 1] - edges[at]
+        covered += 1
+    return covered * radius // m
+
+
+def _finds(differ: np.ndarray, radius: int, band: int) -> np.ndarray:
+    """Whether band finds pairs with these differing bits (words on the first axis)."""
+    edges, reach = _bands(radius)
+    low, high = edges[band : band + 2]
+    n = np.bitwise_count(_value(differ, low, high)).astype(np.int64)
+    return (n <= reach) & (n + np.bitwise_count(_value(differ, high, high + AFTER)) <= _most(radius, band))
 
 
 def _runs(first: np.ndarray, many: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -261,7 +282,78 @@ def _runs(first: np.ndarray, many: np.ndarray, most: int) -> Iterator[tuple[np.n
         at = upto
 
 
-def _near(q: Points, h: Points | None, radius: int, slack: int, band: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass
+class _Side:
+    """Points in the order of their values in a band: first and number of each value, and the AFTER bits behind it.
+
+    The first `layers` points of every value are looked up without asking
+    whether they are there, as an eighth of the values at least has the last
+    of them; `rest` are the points beyond, `more` the values that have such.
+    """
+
+    order: np.ndarray
+    value: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    after: list[np.ndarray]
+    more: np.ndarray
+    rest: np.ndarray
+
+    @staticmethod
+    def of(words: np.ndarray, low: int, high: int) -> _Side:
+        value = _value(words, low, high)
+        order = np.argsort(value, kind="stable")
+        value, after = value[order], _value(words, high, high + AFTER)[order].view(np.uint64)
+        count = np.bincount(value, minlength=1 << (high - low))
+        start = np.cumsum(count) - count
+        layers = 1
+        while np.count_nonzero(count > layers) * 8 >= len(count):
+            layers += 1
+        rest = np.flatnonzero(np.arange(len(value)) - start[value] >= layers)
+        after = np.concatenate([after, np.zeros(layers, np.uint64)])
+        return _Side(order, np.concatenate([value, np.full(layers, -1)]), start, count, [after[k:] for k in range(layers)], count > layers, rest)
+
+    def lookup(self, rows: np.ndarray, other: _Side, masks: list[int], most: int, whole: bool, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, point of the other side) whose values differ by one of the masks, and by `most` bits at most with those behind; if not whole, the other's rest is left out."""
+        aims, firsts, words, counts = (np.empty(block, t) for t in (np.int64, np.int64, np.uint64, np.uint8))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for at in range(0, len(rows), block):
+            own = rows[at : at + block]
+            value, after = self.value[own], self.after[0][own]
+            aim, first, word, bits = (x[: len(own)] for x in (aims, firsts, words, counts))
+            for mask in masks:
+                left = most - mask.bit_count()
+                np.bitwise_xor(value, mask, out=aim)
+                other.start.take(aim, out=first, mode="clip")  # other modes than raise need no copy
+                for k, x in enumerate(other.after):
+                    x.take(first, out=word, mode="clip")
+                    np.bitwise_xor(word, after, out=word)
+                    np.bitwise_count(word, out=bits)
+                    if bits.min() > left:
+                        continue
+                    near = np.flatnonzero(bits <= left)
+                    j = first[near] + k
+                    there = other.value[j] == aim[near]
+                    found.append((own[near[there]], j[there]))
+                    held += len(near)
+                hit = np.flatnonzero(other.more.take(aim)) if whole else ()
+                if len(hit):
+                    for row, j in _runs(first[hit] + len(other.after), other.count[aim[hit]] - len(other.after), 1 << 18):
+                        near = np.flatnonzero(np.bitwise_count(other.after[0].take(j) ^ after[hit[row]]) <= left)
+                        found.append((own[hit[row[near]]], j[near]))
+                        held += len(near)
+                        if held > 1 << 18:
+                            yield tuple(map(np.concatenate, zip(*found)))
+                            found, held = [], 0
+                if held > 1 << 16:
+                    yield tuple(map(np.concatenate, zip(*found)))
+                    found, held = [], 0
+        if found:
+            yield tuple(map(np.concatenate, zip(*found)))
+
+
+def _near(q: Points, h: Points | None, radius: int, slack: int, band: int, block: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Index pairs and distances of queries and home points in reach, of which band is the first that finds them.
 
     Without home points the pairs are those among the queries, each once.
@@ -269,51 +361,42 @@ def _near(q: Points, h: Points | None, radius: int, slack: int, band: int, block
     edges, reach = _bands(radius)
     low, high = edges[band : band + 2]
     alone = h is None
-    qw, qc = np.ascontiguousarray(q[0].T), q[1]
-    hw, hc = (qw, qc) if alone else (np.ascontiguousarray(h[0].T), h[1])
+    (qw, qc), (hw, hc) = q, q if alone else h
     if not len(qc) or not len(hc):
         return
-    qv, hv = _value(qw, low, high), _value(hw, low, high)
-    qo = np.argsort(qv, kind="stable")
-    ho = qo if alone else np.argsort(hv, kind="stable")
-    qw, qc, qv, hw, hc = qw[qo], qc[qo], qv[qo], hw[ho], hc[ho]
-    count = np.bincount(hv, minlength=1 << (high - low))
-    start, there = np.cumsum(count) - count, count > 0
 
     def tested(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        # four counts of a fingerprint in the bytes of 32 bits, added up by a product: 256 would be 0, and is seen below
-        # (fancy indexing would take rows several times slower)
-        d = (np.bitwise_count(qw.take(i, axis=0) ^ hw.take(j, axis=0)).view(np.uint32)[:, 0] * np.uint32(0x01010101)) >> np.uint32(24)
-        at = np.flatnonzero(d <= radius)
-        if not len(at):
-            return
-        i, j = i[at], j[at]
-        d = _far(qw[i], hw[j])
-        ok = (d <= radius) & (np.abs(qc[i] - hc[j]) <= slack) & (np.bitwise_count(_value(qw[i] ^ hw[j], low, high)) <= reach)
+        differ = qw[:, i] ^ hw[:, j]
+        d = np.bitwise_count(differ).sum(axis=0, dtype=np.int64)
+        at = np.flatnonzero((d <= radius) & (np.abs(qc[i] - hc[j]) <= slack))
+        at = at[_finds(differ[:, at], radius, band)]
         for b in range(band):
-            ok &= np.bitwise_count(_value(qw[i] ^ hw[j], *edges[b : b + 2])) > reach
-        if ok.any():
-            yield qo[i[ok]], ho[j[ok]], d[ok]
+            at = at[~_finds(differ[:, at], radius, b)]
+        if len(at):
+            yield i[at], j[at], d[at]
 
     if len(hc) * len(qc) < 1 << 20:  # less than the lookups take
-        for row, j in _runs(np.arange(1, len(qc) + 1) if alone else np.zeros(len(qc), np.int64), len(hc) - np.arange(1, len(qc) + 1) if alone else np.full(len(qc), len(hc)), block):
+        for row, j in _runs(np.arange(1, len(qc) + 1) if alone else np.zeros(len(qc), np.int64), len(hc) - np.arange(1, len(qc) + 1) if alone else np.full(len(qc), len(hc)), 1 << 18):
             yield from tested(row, j)
         return
-    everyone = np.arange(len(qc))
+    a = _Side.of(qw, low, high)
+    b = a if alone else _Side.of(hw, low, high)
+    most = _most(radius, band)
     for top in range(-1, high - low):
         # masks by their highest bit; among the queries themselves it is enough to look from those without it
         masks = [0] if top < 0 else [(1 << top) | sum(1 << x for x in c) for k in range(reach) for c in combinations(range(top), k)]
-        rows = np.flatnonzero((qv >> top) & 1 == 0) if alone and top >= 0 else everyone
-        values = qv[rows]
-        for mask in masks:
-            hit = np.flatnonzero(there.take(values ^ mask))
-            if len(hit):
-                i, to = rows.take(hit), values.take(hit) ^ mask
-                first, many = start.take(to), count.take(to)
-                if alone and top < 0:
-                    many, first = first + many - i - 1, i + 1
-                for row, j in _runs(first, many, block):
-                    yield from tested(i.take(row), j)
+        rows, rest = np.arange(len(qc)), b.rest
+        if alone and top < 0:
+            for i, j in _runs(rows + 1, (a.start + a.count)[a.value[rows]] - rows - 1, 1 << 18):
+                near = np.bitwise_count(a.after[0].take(i) ^ a.after[0].take(j)) <= most
+                yield from tested(a.order[i[near]], a.order[j[near]])
+            continue
+        if alone:
+            rows, rest = rows[(a.value[rows] >> top) & 1 == 0], rest[(a.value[rest] >> top) & 1 == 1]
+        for i, j in a.lookup(rows, b, masks, most, False, block):
+            yield from tested(a.order[i], b.order[j])
+        for j, i in b.lookup(rest, a, masks, most, True, block):
+            yield from tested(a.order[i], b.order[j])
 
 
 def _sharded(distinct: DataFrame, radius: int, slack: int) -> DataFrame:
