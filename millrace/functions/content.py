@@ -36,7 +36,12 @@ def looks_like_header(line: Column) -> Column:
     return line.rlike(r"^[\x21-\x39\x3b-\x7e]{1,64}:")
 
 
-def sniff(content: Column) -> Column:
+def sniff(content: Column, whole_characters: bool = False) -> Column:
+    """The label of the leading bytes.
+
+    A character that the end of the head cuts in two counts as malformed; with
+    whole_characters it is read to its end, so text is text wherever it is cut.
+    """
     head = F.substring(content, 1, HEAD)
     chain = None
     for magic, label in MAGIC:
@@ -44,8 +49,10 @@ def sniff(content: Column) -> Column:
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     line = F.substring(F.substring_index(latin(head), "\n", 1), 1, 200)
     chain = chain.when(line.startswith("From ") | looks_like_header(line), "eml")
-    # a character cut in two at the end of the head counts as malformed
-    return chain.when(F.is_valid_utf8(head.cast("string")), "txt").otherwise("other")
+    valid = F.is_valid_utf8(head.cast("string"))
+    for more in (1, 2, 3) if whole_characters else ():  # bytes of one character that may lie behind the head
+        valid = valid | F.is_valid_utf8(F.substring(content, 1, HEAD + more).cast("string"))
+    return chain.when(valid, "txt").otherwise("other")
 
 
 def tamper(media: Column, content: Column) -> Column:
@@ -75,11 +82,12 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def classify(path: Column, content: Column) -> Column:
+def classify(path: Column, content: Column, whole_characters: bool = False) -> Column:
     """struct<media_type, magic_label, reason>; reason is null for what is accepted.
 
     The content decides; an extension that promises another structured type, or
-    text where the content is structured, is a mismatch.
+    text where the content is structured, is a mismatch.  whole_characters: see
+    sniff().
     """
     def media(k: Column) -> Column:
         want, got = k["want"], k["got"]
@@ -92,4 +100,4 @@ def classify(path: Column, content: Column) -> Column:
         reason = F.when(m["clash"], "TAMPER_MAGIC_MISMATCH").otherwise(tamper(m["media_type"], content))
         return F.struct(m["media_type"].alias("media_type"), m["magic_label"].alias("magic_label"), reason.alias("reason"))
 
-    return _let(_let(F.struct(promised(path).alias("want"), sniff(content).alias("got")), media), verdict)
+    return _let(_let(F.struct(promised(path).alias("want"), sniff(content, whole_characters).alias("got")), media), verdict)

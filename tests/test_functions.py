@@ -55,6 +55,24 @@ def test_classification(spark):
     assert got == {i: (m, r) for i, (_, _, m, r) in enumerate(CASES)}
 
 
+def test_a_character_may_be_read_beyond_the_head(spark):
+    n = content.HEAD
+    texts = [b"a" * (n - k) + c.encode() + tail for c in "aé€😀" for k in range(5) for tail in (b"", b" more")]
+    broken = [b"a" * (n - 1) + c for c in (b"\xff", b"\xc3", b"\xc3a", b"\xe2\x82", b"\xf0\x9f\x98a", b"\xa9")] + [b"\xff" + b"a" * n, b"a" * (n - 9) + b"\xffb" + "é".encode() * 9]
+    late = [b"a" * n + c for c in (b"\xff", b"\xa9", b"\xc3")]  # what lies wholly behind the head isn't looked at
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(texts + broken + late)], "i int, c binary")
+    rows = df.orderBy("i").select(content.sniff(F.col("c"), whole_characters=True), content.sniff(F.col("c"))).collect()
+    assert [r[0] for r in rows] == ["txt"] * len(texts) + ["other"] * len(broken) + ["txt"] * len(late)
+
+    def plain(head):
+        try:
+            return head.decode() and "txt"
+        except UnicodeDecodeError:
+            return "other"
+
+    assert [r[1] for r in rows] == [plain(c[:n]) for c in texts + broken + late]
+
+
 def test_extension(spark):
     names = ["a.TXT", "a.tar.GZ", ".bashrc", "dir.x/file", "a.", "b/.h.txt", "x", "..", "n.p/q.r"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "p string").select(tx.extension(F.col("p"))).collect()]

@@ -190,6 +190,19 @@ def test_query_equals_sql(spark, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", ["classify_files"])
+def test_characters_at_the_end_of_the_head_equal_sql(spark, tmp_path, name):
+    """Texts with a character of 1 to 4 bytes across byte 8,192, under each extension."""
+    import duckdb
+
+    texts = ["a" * (8192 - k) + c + " more" for c in "aé€😀" for k in range(5)]
+    spark.createDataFrame([(i, texts[i % 20]) for i in range(1, 1400)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = __spark_entry__.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(core.ORACLES[name]).df()
+    assert rows_of(got) == rows_of(want)
+
+
 def test_entry(spark):
     if os.path.isdir(SF):
         assert __spark_entry__.entry(spark).count() > 0
