@@ -190,7 +190,7 @@ def test_query_equals_sql(spark, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", ["classify_files"])
+@pytest.mark.parametrize("name", ["classify_files", "media_census"])
 def test_characters_at_the_end_of_the_head_equal_sql(spark, tmp_path, name):
     """Texts with a character of 1 to 4 bytes across byte 8,192, under each extension."""
     import duckdb
